@@ -54,10 +54,44 @@ def flat_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.values).view(np.uint64)[off[0] : off[-1]], off - off[0]
 
 
+#: Bits of a set's id that tell the parity of its words in so many groups; the others are a plain hash.
+PARITIES = 48
+
+
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """Ids of word sets that also bound how much two sets differ: see ``differ_at_least``."""
+    n = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    parity = np.zeros(len(sets), np.uint64)
+    if len(flat):
+        bits = np.uint64(1) << (mixed(flat, 77) % np.uint64(PARITIES))
+        full = np.flatnonzero(n)
+        starts = np.r_[0, np.cumsum(n[full])[:-1]]
+        parity[full] = np.bitwise_xor.reduceat(bits, starts)
+    plain = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) & 0xFFFF for s in sets], dtype=np.uint64)
+    return ((parity << np.uint64(16)) | plain).view(np.int64)
+
+
+def differ_at_least(a: str | Column, b: str | Column) -> Column:
+    """A lower bound of the number of words that only one of two sets has, from their ids.
+
+    A group of words whose parity differs holds at least one such word.
+    """
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 64 - PARITIES))
+
+
+def may_be_alike(a: str, b: str, na: str | Column, nb: str | Column, least: float) -> Column:
+    """False only for sets whose ids show that they differ in too many words for the likeness."""
+    na, nb = (F.col(x) if isinstance(x, str) else x for x in (na, nb))
+    both = (na + nb).cast("double")
+    return differ_at_least(a, b) <= both - 2 * F.ceil(F.lit(least / (1 + least)) * both - 1e-9)
+
+
 def with_word_sets(df: DataFrame, keys: list[str], texts: dict[str, list[str]]) -> DataFrame:
     """``keys`` of every row and, for each name in ``texts``, the set of words of its columns taken together.
 
-    ``name`` is the array of word hashes, ``name_id`` a hash of that set; null texts count as empty.
+    ``name`` is the array of word hashes, ``name_id`` the id of that set (``set_ids``); null texts count as empty.
     """
     src = df.select(*keys, *{c for cs in texts.values() for c in cs})
     kinds = dict(src.dtypes)
@@ -70,8 +104,7 @@ def with_word_sets(df: DataFrame, keys: list[str], texts: dict[str, list[str]])
             for cs in texts.values():
                 values = [b.column(c).to_pylist() for c in cs]
                 sets = [h.distinct("\n".join(x for x in row if x)) for row in zip(*values, strict=True)]
-                ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                cols += [list_array(sets), pa.array(ids)]
+                cols += [list_array(sets), pa.array(set_ids(sets))]
             yield pa.RecordBatch.from_arrays(cols, [*keys, *(x for n in texts for x in (n, f"{n}_id"))])
 
     return src.mapInArrow(run, schema)

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, flat_of, frequent_words, members, mixed, overlap, with_word_sets, within_groups
+from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, members, mixed, overlap, with_word_sets, within_groups
 
 #: A signature needs a word that fewer than this share of the sets (or than LEAST sets) have.
 FREQUENT, LEAST = 0.005, 200
@@ -58,8 +57,8 @@ def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
     return best[1]
 
 
-def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray) -> DataFrame:
-    """(sig, id, n, whole): the signatures of each set; whole tells a segment from its one-deletions."""
+def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, deletions: bool) -> DataFrame:
+    """(sig, id, n, whole): a signature of each segment of each set and, with ``deletions``, of the segment less each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +89,7 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
                     whole = mixed(total + salt, 3)
                     less = mixed(total[group] - h + salt[group], 3)
                 ok_w = rares > 0
-                ok_d = (rares[group] - ra) > 0
+                ok_d = ((rares[group] - ra) > 0) & deletions
                 sig = np.concatenate([whole[ok_w], less[ok_d]]).view(np.int64)
                 who = np.concatenate([r[starts][ok_w], r[ok_d]])
                 flag = np.r_[np.ones(ok_w.sum(), bool), np.zeros(ok_d.sum(), bool)]
@@ -101,12 +100,16 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
     return sets.select(id_col, col).mapInArrow(run, "sig bigint, id bigint, n int, whole boolean")
 
 
-def candidate_pairs(sigs: DataFrame, likeness: float) -> DataFrame:
-    """Distinct (a, b), a < b, of ids that meet in a segment, at least one of them with the whole segment."""
-    e = sigs.where("whole").select("sig", F.col("id").alias("x"), F.col("n").alias("nx"))
-    y = sigs.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("whole").alias("both"))
+def candidate_pairs(whole: DataFrame, all_of: DataFrame, likeness: float) -> DataFrame:
+    """Distinct (a, b), a < b, of ids that meet in a segment, at least one of them with the whole segment.
+
+    Pairs whose sizes or ids show that they can't have the likeness are dropped before anything is shuffled again.
+    """
+    e = whole.select("sig", F.col("id").alias("x"), F.col("n").alias("nx"))
+    y = all_of.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("whole").alias("both"))
     near = (F.col("x") != F.col("y")) & (~F.col("both") | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") >= F.lit(likeness) * F.greatest("nx", "ny") - 1e-9)
-    return y.join(e.hint("shuffle_hash"), "sig").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = y.join(e.hint("shuffle_hash"), "sig").where(near & may_be_alike("x", "y", "nx", "ny", likeness))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
@@ -122,7 +125,8 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
     bands = size_bands(sizes, likeness)
     frequent = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else np.zeros(0, np.uint64)
     sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col))
-    cand = candidate_pairs(signatures(sets, id_col, col, bands, likeness, frequent), likeness)
+    whole, every = (signatures(sets, id_col, col, bands, likeness, frequent, deletions=x) for x in (False, True))
+    cand = candidate_pairs(whole, every, likeness)
     one = sets.select(F.col(id_col).alias("a"), F.col(col).alias("wa"))
     two = sets.select(F.col(id_col).alias("b"), F.col(col).alias("wb"))
     got = cand.join(one, "a").join(two, "b").withColumn("shared", overlap("wa", "wb"))
@@ -131,9 +135,9 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
 
 
 def record_sets(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """id, ws_id and ws (the word set) of the rows that have an id and a word; kept on the executors' disks."""
+    """id, ws_id and ws (the word set) of the rows that have an id and a word; kept for the reads that follow."""
     r = with_word_sets(df.where(F.col(id_col).isNotNull()), [id_col], {"ws": text_cols})
-    return r.where(F.size("ws") > 0).persist(StorageLevel.DISK_ONLY)
+    return r.where(F.size("ws") > 0).persist()
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], likeness: float = 0.7) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidloom.llm import nearset
+from evidloom.llm import crosssplit, leakage, nearset
 from evidloom.session import table
 
 
@@ -12,5 +13,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearset.near_duplicates(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
 
 
-QUERIES = {"p3_found": p3_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", likeness=0.6)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.overlap_report(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", "source", likeness=0.6)
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(_leaked(spark, d), table(spark, d, "eval_items"), "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {}

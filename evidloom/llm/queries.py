@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import crosssplit, leakage, nearset
+from evidloom.llm import crosssplit, encode, leakage, nearset
 from evidloom.session import table
 
 
@@ -21,6 +21,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", "source", likeness=0.6)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -33,5 +37,5 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(_leaked(spark, d), table(spark, d, "eval_items"), "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {}

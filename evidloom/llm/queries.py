@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import crosssplit, encode, leakage, nearset
+from evidloom.llm import crosssplit, encode, leakage, nearset, truncated
 from evidloom.session import table
 
 
@@ -37,5 +37,17 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(_leaked(spark, d), table(spark, d, "eval_items"), "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.truncated(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _truncated(spark, d).where("cut").select(F.col("doc").alias("doc_id")).distinct()
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.truncation_report(_truncated(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {}

@@ -124,7 +124,7 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
     rows, total = sum(sizes.values()), sum(n * k for n, k in sizes.items())
     bands = size_bands(sizes, likeness)
     frequent = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else np.zeros(0, np.uint64)
-    sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col))
+    sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col)).persist()  # for both indexes and both sides of the check
     whole, every = (signatures(sets, id_col, col, bands, likeness, frequent, deletions=x) for x in (False, True))
     cand = candidate_pairs(whole, every, likeness)
     one = sets.select(F.col(id_col).alias("a"), F.col(col).alias("wa"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import crosssplit, encode, leakage, nearset, truncated
+from evidloom.llm import crosssplit, encode, leakage, nearset, splits, truncated
 from evidloom.session import table
 
 
@@ -13,6 +13,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearset.near_duplicates(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_sources(table(spark, d, "arafa"), "final_id", "source", table(spark, d, "source_verification"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.stratified_splits(table(spark, d, "arafa"), "final_id", "source", "judgement", table(spark, d, "source_verification"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.cross_split_pairs(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", likeness=0.6)
 
@@ -49,5 +57,5 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {}

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import crosssplit, encode, leakage, nearset, splits, truncated
+from evidloom.llm import crosssplit, encode, leakage, nearset, sentences, splits, truncated
 from evidloom.session import table
 
 
+def _sentence_model(spark: SparkSession, d: str) -> sentences.Model:
+    """Trained on the whole articles, which the chunks and the evidence are taken from."""
+    return sentences.train(table(spark, d, "articles"), "text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    m = _sentence_model(spark, d)
+    chunk = sentences.sentences(table(spark, d, "wikipedia_chunks"), "chunk_id", "text", m).select(F.lit("chunk").alias("field"), "key", "end_pos")
+    evidence = sentences.sentences(table(spark, d, "arafa"), "final_id", "evidence", m).select(F.lit("evidence").alias("field"), "key", "end_pos")
+    return chunk.unionByName(evidence).withColumnRenamed("key", "rec_key")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearset.near_duplicates(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
 
@@ -57,5 +69,5 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm import crosssplit, encode, leakage, nearset, sentences, splits, truncated
+from evidloom.llm import crosssplit, encode, leakage, lookalikes, nearset, pieces, sentences, splits, truncated
 from evidloom.session import table
 
 
@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return chunk.unionByName(evidence).withColumnRenamed("key", "rec_key")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    p = pieces.pieces(table(spark, d, "wikipedia_chunks"), "chunk_id", "text", _sentence_model(spark, d), limit=480)
+    return p.withColumnRenamed("key", "chunk_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearset.near_duplicates(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
 
@@ -33,6 +38,22 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.stratified_splits(table(spark, d, "arafa"), "final_id", "source", "judgement", table(spark, d, "source_verification"))
 
 
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    a, c = table(spark, d, "arafa"), table(spark, d, "wikipedia_chunks")
+    each = lambda df, field, key, text: df.where(F.col(key).isNotNull()).select(F.lit(field).alias("field"), "source", F.col(key).cast("string").alias("key"), F.col(text).alias("t"))
+    return lookalikes.repaired_forms(each(a, "claim", "final_id", "claim").unionByName(each(a, "evidence", "final_id", "evidence")).unionByName(each(c, "chunk", "chunk_id", "text")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    f = _forms(spark, d)
+    claims = lookalikes.same_looking(f.where("field = 'claim'")).select(F.lit("claim").alias("field"), F.col("key_a").cast("string").alias("key_a"), F.col("key_b").cast("string").alias("key_b"))
+    return claims.unionByName(lookalikes.found_again(f, "evidence", "chunk").select(F.lit("evidence").alias("field"), "key_a", "key_b"))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.looks_classes(_forms(spark, d).where("field = 'claim'"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.cross_split_pairs(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", likeness=0.6)
 
@@ -69,5 +90,5 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evidloom.llm.arrays import members
 from evidloom.llm.textforms import base_form, latin_words, replace_tokens, suspicious
+from evidloom.session import checkpointed
 
 _FORM = "field string, source bigint, key string, raw binary, form binary, base string, tokens array<struct<token:string,repaired:string>>, words array<string>"
 
@@ -54,7 +55,10 @@ def base_forms(texts: DataFrame) -> DataFrame:
 
 
 def repaired_forms(texts: DataFrame) -> DataFrame:
-    """(field, source, key, raw, form): digests of each non-blank text and of its one form, repairs included."""
+    """(field, source, key, raw, form): digests of each non-blank text and of its one form, repairs included.
+
+    The result is checkpointed: it is a few digests a text, and what reads it reads it several times.
+    """
     x = base_forms(texts).persist()
     mixed = x.where("base is not null")
     asked = mixed.select(F.explode("tokens").alias("p")).select("p.token", "p.repaired").distinct()
@@ -71,7 +75,9 @@ def repaired_forms(texts: DataFrame) -> DataFrame:
     fixed = per_form.select("form", "base", "to").mapInArrow(run, "form binary, new binary")
     plain = x.where("base is null").select("field", "source", "key", "raw", "form")
     turned = mixed.join(fixed, "form", "left").select("field", "source", "key", "raw", F.coalesce("new", "form").alias("form"))
-    return plain.unionByName(turned)
+    out = checkpointed(plain.unionByName(turned).distinct())
+    x.unpersist()
+    return out
 
 
 def one_form(df: DataFrame, text: str, out: str = "one_form") -> DataFrame:
@@ -115,8 +121,9 @@ def same_looking(forms: DataFrame) -> DataFrame:
     first key that has another text.
     """
     f = forms.select("form", "raw", F.col("key").cast("bigint").alias("key")).distinct()
-    n = f.groupBy("form").agg(F.count_distinct("raw").alias("texts"), F.count_distinct("key").alias("keys")).where("texts > 1 and keys > 1")
-    x = f.join(n, "form")
+    # forms of one text only, most of them, leave before anything is joined
+    n = f.groupBy("form").agg(F.min("raw").alias("r0"), F.max("raw").alias("r1"), F.count_distinct("key").alias("keys")).where("r0 <> r1 and keys > 1").select("form", "keys")
+    x = checkpointed(f.join(n, "form"))
     small = x.where(F.col("keys") <= WHOLE).select("form", "raw", "key")
     a, b = small.select("form", F.col("raw").alias("ra"), F.col("key").alias("key_a")), small.select("form", F.col("raw").alias("rb"), F.col("key").alias("key_b"))
     pairs = a.join(b, "form").where("key_a < key_b and ra <> rb").select("key_a", "key_b")

@@ -133,18 +133,18 @@ def word_counts(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(sets: DataFrame, col: str, rows: int, words_total: int, share: float, least: int) -> np.ndarray:
-    """The words in more than ``share`` of the ``rows`` sets (and in more than ``least``), sorted.
+def frequent_words(sets: DataFrame, col: str, rows: int, words_total: int, share: float, least: int) -> tuple[np.ndarray, float]:
+    """(words, rare share): the words in more than ``share`` of the ``rows`` sets (and in more than ``least``), sorted, and what part of all words is none of them.
 
     The list is bounded: each set has ``words_total / rows`` words on average, so at most that number
     divided by ``share`` can be so frequent. The bound is checked before anything reaches the driver.
     """
     line = max(share * rows, least)
-    hot = word_counts(sets, col).where(F.col("n") > line).select("word")
     bound = int(words_total / line) + 1
-    got = [r[0] for r in hot.limit(bound + 1).collect()]
+    got = word_counts(sets, col).where(F.col("n") > line).limit(bound + 1).collect()
     assert len(got) <= bound, "more frequent words than the bound allows"
-    return np.sort(np.array(got, dtype=np.int64).view(np.uint64))
+    hot = np.sort(np.array([r.word for r in got], dtype=np.int64).view(np.uint64))
+    return hot, 1.0 - sum(r.n for r in got) / max(1, words_total)
 
 
 def overlap(a: str | Column, b: str | Column) -> Column:

@@ -1,11 +1,13 @@
 """Near-duplicate records: all pairs of word sets of a given likeness, without pairwise comparison.
 
-The universe of words is partitioned by hash into segments, as many for a band of set sizes that two sets
-of the wanted likeness, which differ in H words at most, agree in a segment but for one word (pigeonhole:
-2 * segments > H). Each set is indexed under each of its segments and under each segment less one word (the
-one-deletion neighbourhood); two sets whose segments differ by one word meet there. A signature made of
-frequent words only would have a list that grows with the collection; the allocation leaves those out, and
-the segments that remain carry the set. Candidates are verified exactly.
+Two sets of the likeness differ in H words at most, by their sizes. The universe of words is partitioned by hash
+into segments, as many as the band of set sizes needs. Each set is indexed under each of its segments and under
+each segment less one word (the one-deletion neighbourhood), so sets whose segments differ by one word meet. A
+signature of frequent words only would have a list that grows with the collection; the allocation leaves it out.
+What is left covers a set if its segments of two or more rarer words count 2, those of one count 1, and the sum
+exceeds H: differences too few to spoil every segment must leave one that both sets share (pigeonhole). A set
+that a partition doesn't cover is indexed in the next one too, and after the last by its rarest words, so a pair
+meets in the first partition that covers one of the two. No pair is lost; candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, me
 
 #: A signature needs a word that fewer than this share of the sets (or than LEAST sets) have.
 FREQUENT, LEAST = 0.005, 200
+#: Partitions that a set may be indexed in.
+PARTITIONS = 4
 #: Copies in groups up to this size are returned as all their pairs, larger groups by their representative.
 WHOLE = 1000
 
@@ -31,8 +35,22 @@ def most_different(size: int, likeness: float) -> int:
     return math.floor((1 - likeness) / (1 + likeness) * 2 * size + 1e-9)
 
 
-def segments_for(size: int, likeness: float) -> int:
-    return max(1, math.ceil((most_different(size, likeness) + 1) / 2))
+def segments_for(size: int, likeness: float, rare_share: float = 1.0) -> int:
+    """Segments with which most sets of about ``size`` words are covered, if that share of their words is rare.
+
+    The number of rare words of a segment is about Poisson distributed; the cover wants a margin of an eighth.
+    """
+    need = (most_different(size, likeness) + 1) * 1.125
+    rare = max(1.0, size * rare_share)
+    best, cover = 1, 0.0
+    for m in range(max(1, math.ceil(need / 2)), size + 1):
+        lam = rare / m
+        c = m * (2 - 2 * math.exp(-lam) - lam * math.exp(-lam))
+        if c > cover:
+            best, cover = m, c
+        if c >= need:
+            break
+    return best
 
 
 def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
@@ -57,8 +75,9 @@ def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
     return best[1]
 
 
-def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, deletions: bool) -> DataFrame:
-    """(sig, id, n, whole): a signature of each segment of each set and, with ``deletions``, of the segment less each word."""
+def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, rare_share: float, deletions: bool) -> DataFrame:
+    """(sig, id, n, whole): a signature of each allocated segment of each set and, with ``deletions``, of the segment less each word."""
+    segments = [segments_for(hi, likeness, rare_share) for _, hi in bands]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,38 +87,64 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
             rec = np.repeat(np.arange(len(n)), n)
             at = np.searchsorted(frequent, v)
             rare = np.ones(len(v), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != v
+            out: list[tuple[np.ndarray, np.ndarray, bool]] = []
             for k, (lo, hi) in enumerate(bands):
-                use = (n <= hi) & (np.floor(n / likeness + 1e-9) > lo) & (n > 0)
-                keep = use[rec]
-                if not keep.any():
-                    continue
-                w, r, ra = v[keep], rec[keep], rare[keep]
-                m = segments_for(hi, likeness)
-                seg = (mixed(w, 1000 + k) % np.uint64(m)).astype(np.int64)
-                order = np.argsort(r * m + seg, kind="stable")
-                w, r, ra, seg = w[order], r[order], ra[order], seg[order]
-                key = r * m + seg
-                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                h = mixed(w, 7)
-                with np.errstate(over="ignore"):
-                    total = np.add.reduceat(h, starts)
-                    rares = np.add.reduceat(ra.astype(np.int64), starts)
-                    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(w)]))
-                    salt = mixed(seg[starts].astype(np.uint64), 50_000 + k)
-                    whole = mixed(total + salt, 3)
-                    less = mixed(total[group] - h + salt[group], 3)
-                ok_w = rares > 0
-                ok_d = ((rares[group] - ra) > 0) & deletions
-                sig = np.concatenate([whole[ok_w], less[ok_d]]).view(np.int64)
-                who = np.concatenate([r[starts][ok_w], r[ok_d]])
-                flag = np.r_[np.ones(ok_w.sum(), bool), np.zeros(ok_d.sum(), bool)]
+                active = (n <= hi) & (np.floor(n / likeness + 1e-9) > lo) & (n > 0)
+                largest = np.minimum(hi, np.floor(n / likeness + 1e-9))
+                differ = np.floor((1 - likeness) / (1 + likeness) * (n + largest) + 1e-9)
+                for t in range(PARTITIONS):
+                    if not active.any():
+                        break
+                    cover = np.zeros(len(n))
+                    out += _allocated(v, rec, rare, active, segments[k], 100 * (k + 1) + t, cover, deletions)
+                    active = active & (cover <= differ)
+                if active.any():
+                    out.append(_rarest(v, rec, rare, active, n, likeness, 100 * (k + 1) + 99))
+            for sig, who, whole in out:
                 for i in range(0, len(sig), 100_000):
                     s = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[s]), pa.array(ids[who[s]]), pa.array(n[who[s]].astype(np.int32)), pa.array(flag[s])], ["sig", "id", "n", "whole"])
+                    w = who[s]
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[s].view(np.int64)), pa.array(ids[w]), pa.array(n[w].astype(np.int32)), pa.array(np.full(len(w), whole))], ["sig", "id", "n", "whole"])
 
     return sets.select(id_col, col).mapInArrow(run, "sig bigint, id bigint, n int, whole boolean")
 
 
+def _allocated(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, m: int, seed: int, cover: np.ndarray, deletions: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Signatures of one partition; ``cover`` gets what they cover of each active set."""
+    keep = active[rec]
+    w, r, ra = v[keep], rec[keep], rare[keep]
+    seg = (mixed(w, seed) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(r * m + seg, kind="stable")
+    w, r, ra, seg = w[order], r[order], ra[order], seg[order]
+    key = r * m + seg
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    h = mixed(w, 7)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(w)]))
+    rares = np.add.reduceat(ra.astype(np.int64), starts)
+    np.add.at(cover, r[starts], np.minimum(rares, 2))
+    salt = mixed(seg[starts].astype(np.uint64), 50_000 + seed)
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(h, starts)
+        some = rares > 0
+        out = [(mixed(total + salt, 3)[some], r[starts][some], True)]
+        if deletions:
+            some = (rares[group] - ra) > 0
+            out.append((mixed(total[group] - h + salt[group], 3)[some], r[some], False))
+    return out
+
+
+def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, n: np.ndarray, likeness: float, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rarer words of sets that no partition covers, as many that two sets of the likeness share one of them."""
+    keep = active[rec]
+    w, r, ra = v[keep], rec[keep], rare[keep]
+    order = np.lexsort((w, ~ra, r))
+    w, r = w[order], r[order]
+    first = np.searchsorted(r, r)
+    place = np.arange(len(r)) - first
+    use = place < n[r] - np.ceil(likeness * n[r] - 1e-9) + 1
+    return mixed(w[use], seed), r[use], True
+
+
 def candidate_pairs(whole: DataFrame, all_of: DataFrame, likeness: float) -> DataFrame:
     """Distinct (a, b), a < b, of ids that meet in a segment, at least one of them with the whole segment.
 
@@ -123,9 +168,9 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
     sizes = {r[0]: r[1] for r in sized.collect()}  # one row per set size
     rows, total = sum(sizes.values()), sum(n * k for n, k in sizes.items())
     bands = size_bands(sizes, likeness)
-    frequent = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else np.zeros(0, np.uint64)
+    frequent, rare_share = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
     sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col)).persist()  # for both indexes and both sides of the check
-    whole, every = (signatures(sets, id_col, col, bands, likeness, frequent, deletions=x) for x in (False, True))
+    whole, every = (signatures(sets, id_col, col, bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
     cand = candidate_pairs(whole, every, likeness)
     one = sets.select(F.col(id_col).alias("a"), F.col(col).alias("wa"))
     two = sets.select(F.col(id_col).alias("b"), F.col(col).alias("wb"))

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm.sentences import Model, spans
-from evidloom.session import spread
 
 _SPACE = r"[\s\x1c-\x1f]"
 _INK = r"[^\s\x1c-\x1f]"
@@ -79,7 +78,7 @@ def pieces(df: DataFrame, key: str, text: str, model: Model, limit: int = 480) -
             found = [[{"s": s, "e": e} for s, e in spans(t, model)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["key", "t", "sents"])
 
-    s = spread(src.dropDuplicates(["key", "t"])).mapInArrow(run, "key string, t string, sents array<struct<s:bigint,e:bigint>>")
+    s = src.dropDuplicates(["key", "t"]).mapInArrow(run, "key string, t string, sents array<struct<s:bigint,e:bigint>>")
     p = s.select("key", "t", F.explode(packed(F.col("sents"), limit)).alias("p"))
     cut = F.when(F.col("p.long"), split_long(F.col("t"), F.col("p.s"), F.col("p.e"), limit)).otherwise(F.array(F.struct(F.col("p.s").alias("s"), F.col("p.e").alias("e"))))
     return p.select("key", F.explode(cut).alias("x")).select("key", F.col("x.s").alias("start_pos"), F.col("x.e").alias("end_pos")).distinct()

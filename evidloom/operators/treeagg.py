@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.session import scan_splits
+
 #: Rows of a chunk, and chunks whose states one merge takes.
 CHUNK, FAN_IN = 65_536, 8
 
@@ -55,7 +57,7 @@ def tree_aggregate(df: DataFrame, key: str, states: list[State], chunk: int = CH
     level = merged(src, "_p", "_c")
     # chunks of one partition meet first, then partitions; the rounds are logarithmic in both
     level = merged(level.withColumn("_c", F.floor(F.col("_c") / fan_in)), "_p", "_c")
-    parts = max(1, df.rdd.getNumPartitions())
+    parts = max(scan_splits(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     level = merged(level, "_p")
     for _ in range(max(0, math.ceil(math.log(parts, fan_in)) - 1)):
         level = merged(level.withColumn("_p", F.floor(F.col("_p") / fan_in)), "_p")

@@ -43,10 +43,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scan_splits(df: DataFrame) -> int:
+    """About how many tasks scan the files behind ``df``, from their sizes alone: no job runs."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(1, len(df.inputFiles()), -(-min(size, 2**60) // int(most)))
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """``df`` over at least ``per_core`` partitions a core, for Python stages behind a small file.
+    """``df`` over at least ``per_core`` partitions a core, for Python stages behind a few small files.
 
-    A scan that already has enough splits stays as it is; no shuffle is added then.
+    A scan that already has enough splits, and the output of a shuffle, stay as they are.
     """
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df if df.rdd.getNumPartitions() >= want // 2 else df.repartition(want)

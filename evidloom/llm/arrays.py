@@ -58,16 +58,20 @@ def flat_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 PARITIES = 48
 
 
+def parities(flat: np.ndarray, n: np.ndarray, groups: int, seed: int) -> np.ndarray:
+    """For sets of n words each, one bit a group of words: whether the set has an odd number of them."""
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        bits = np.uint64(1) << (mixed(flat, seed) % np.uint64(groups))
+        out[full] = np.bitwise_xor.reduceat(bits, np.r_[0, np.cumsum(n[full])[:-1]])
+    return out
+
+
 def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     """Ids of word sets that also bound how much two sets differ: see ``differ_at_least``."""
     n = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    parity = np.zeros(len(sets), np.uint64)
-    if len(flat):
-        bits = np.uint64(1) << (mixed(flat, 77) % np.uint64(PARITIES))
-        full = np.flatnonzero(n)
-        starts = np.r_[0, np.cumsum(n[full])[:-1]]
-        parity[full] = np.bitwise_xor.reduceat(bits, starts)
+    parity = parities(np.concatenate(sets) if sets else np.zeros(0, np.uint64), n, PARITIES, 77)
     plain = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) & 0xFFFF for s in sets], dtype=np.uint64)
     return ((parity << np.uint64(16)) | plain).view(np.int64)
 
@@ -81,11 +85,16 @@ def differ_at_least(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 64 - PARITIES))
 
 
+def most_apart(na: Column, nb: Column, least: float) -> Column:
+    """How many words two sets of these sizes may differ in and still have the likeness."""
+    both = (na + nb).cast("double")
+    return both - 2 * F.ceil(F.lit(least / (1 + least)) * both - 1e-9)
+
+
 def may_be_alike(a: str, b: str, na: str | Column, nb: str | Column, least: float) -> Column:
     """False only for sets whose ids show that they differ in too many words for the likeness."""
     na, nb = (F.col(x) if isinstance(x, str) else x for x in (na, nb))
-    both = (na + nb).cast("double")
-    return differ_at_least(a, b) <= both - 2 * F.ceil(F.lit(least / (1 + least)) * both - 1e-9)
+    return differ_at_least(a, b) <= most_apart(na, nb, least)
 
 
 def with_word_sets(df: DataFrame, keys: list[str], texts: dict[str, list[str]]) -> DataFrame:

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, members, mixed, overlap, with_word_sets, within_groups
+from evidloom.llm.arrays import alike, differ_at_least, flat_of, frequent_words, members, mixed, most_apart, overlap, parities, with_word_sets, within_groups
 
 #: A signature needs a word that fewer than this share of the sets (or than LEAST sets) have.
 FREQUENT, LEAST = 0.005, 200
+#: Sizes that the lower bits of a sketch can hold; larger sets aren't judged by size.
+MOST_SIZE = 0xFFFF
 #: Partitions that a set may be indexed in.
 PARTITIONS = 4
 #: Copies in groups up to this size are returned as all their pairs, larger groups by their representative.
@@ -76,7 +78,10 @@ def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
 
 
 def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, rare_share: float, deletions: bool) -> DataFrame:
-    """(sig, id, n, whole): a signature of each allocated segment of each set and, with ``deletions``, of the segment less each word."""
+    """(sig, id, sk): a signature of each allocated segment of each set, or else of the segment less each of its words.
+
+    sk tells, like the id, the parity of the words in groups, by another hash, and in its lower bits the set's size.
+    """
     segments = [segments_for(hi, likeness, rare_share) for _, hi in bands]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +92,8 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
             rec = np.repeat(np.arange(len(n)), n)
             at = np.searchsorted(frequent, v)
             rare = np.ones(len(v), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != v
-            out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+            sk = ((parities(v, n, 48, 78) << np.uint64(16)) | np.minimum(n, MOST_SIZE).astype(np.uint64)).view(np.int64)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
             for k, (lo, hi) in enumerate(bands):
                 active = (n <= hi) & (np.floor(n / likeness + 1e-9) > lo) & (n > 0)
                 largest = np.minimum(hi, np.floor(n / likeness + 1e-9))
@@ -98,18 +104,18 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
                     cover = np.zeros(len(n))
                     out += _allocated(v, rec, rare, active, segments[k], 100 * (k + 1) + t, cover, deletions)
                     active = active & (cover <= differ)
-                if active.any():
+                if active.any() and not deletions:
                     out.append(_rarest(v, rec, rare, active, n, likeness, 100 * (k + 1) + 99))
-            for sig, who, whole in out:
+            for sig, who in out:
                 for i in range(0, len(sig), 100_000):
                     s = slice(i, i + 100_000)
                     w = who[s]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[s].view(np.int64)), pa.array(ids[w]), pa.array(n[w].astype(np.int32)), pa.array(np.full(len(w), whole))], ["sig", "id", "n", "whole"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[s].view(np.int64)), pa.array(ids[w]), pa.array(sk[w])], ["sig", "id", "sk"])
 
-    return sets.select(id_col, col).mapInArrow(run, "sig bigint, id bigint, n int, whole boolean")
+    return sets.select(id_col, col).mapInArrow(run, "sig bigint, id bigint, sk bigint")
 
 
-def _allocated(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, m: int, seed: int, cover: np.ndarray, deletions: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+def _allocated(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, m: int, seed: int, cover: np.ndarray, deletions: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Signatures of one partition; ``cover`` gets what they cover of each active set."""
     keep = active[rec]
     w, r, ra = v[keep], rec[keep], rare[keep]
@@ -125,15 +131,14 @@ def _allocated(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndar
     salt = mixed(seg[starts].astype(np.uint64), 50_000 + seed)
     with np.errstate(over="ignore"):
         total = np.add.reduceat(h, starts)
-        some = rares > 0
-        out = [(mixed(total + salt, 3)[some], r[starts][some], True)]
         if deletions:
             some = (rares[group] - ra) > 0
-            out.append((mixed(total[group] - h + salt[group], 3)[some], r[some], False))
-    return out
+            return [(mixed(total[group] - h + salt[group], 3)[some], r[some])]
+        some = rares > 0
+        return [(mixed(total + salt, 3)[some], r[starts][some])]
 
 
-def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, n: np.ndarray, likeness: float, seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, n: np.ndarray, likeness: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The rarer words of sets that no partition covers, as many that two sets of the likeness share one of them."""
     keep = active[rec]
     w, r, ra = v[keep], rec[keep], rare[keep]
@@ -142,19 +147,27 @@ def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray
     first = np.searchsorted(r, r)
     place = np.arange(len(r)) - first
     use = place < n[r] - np.ceil(likeness * n[r] - 1e-9) + 1
-    return mixed(w[use], seed), r[use], True
+    return mixed(w[use], seed), r[use]
 
 
-def candidate_pairs(whole: DataFrame, all_of: DataFrame, likeness: float) -> DataFrame:
-    """Distinct (a, b), a < b, of ids that meet in a segment, at least one of them with the whole segment.
+def candidate_pairs(whole: DataFrame, less: DataFrame, likeness: float) -> DataFrame:
+    """Distinct (a, b), a < b, of ids that meet in a whole segment, or in a segment of one and the other's less a word.
 
-    Pairs whose sizes or ids show that they can't have the likeness are dropped before anything is shuffled again.
+    Pairs whose sizes or parities show that they can't have the likeness are dropped where they meet, before
+    anything is shuffled again: of sets that happen to share a segment hardly one in a million passes.
     """
-    e = whole.select("sig", F.col("id").alias("x"), F.col("n").alias("nx"))
-    y = all_of.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("whole").alias("both"))
-    near = (F.col("x") != F.col("y")) & (~F.col("both") | (F.col("x") < F.col("y"))) & (F.least("nx", "ny") >= F.lit(likeness) * F.greatest("nx", "ny") - 1e-9)
-    met = y.join(e.hint("shuffle_hash"), "sig").where(near & may_be_alike("x", "y", "nx", "ny", likeness))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def met(one: DataFrame, other: DataFrame) -> DataFrame:
+        x, y = one.alias("x"), other.alias("y")
+        ids = (F.col("x.id") < F.col("y.id")) if one is other else (F.col("x.id") != F.col("y.id"))
+        nx, ny = (F.col(c).bitwiseAND(MOST_SIZE) for c in ("x.sk", "y.sk"))
+        sizes = F.least(nx, ny) >= F.lit(likeness) * F.greatest(nx, ny) - 1e-9
+        parity = F.bit_count(F.shiftrightunsigned(F.col("x.sk").bitwiseXOR(F.col("y.sk")), 16))
+        able = (sizes & (parity <= most_apart(nx, ny, likeness)) & (differ_at_least("x.id", "y.id") <= most_apart(nx, ny, likeness))) | (F.greatest(nx, ny) == MOST_SIZE)
+        near = x.join(y.hint("shuffle_hash"), F.col("x.sig") == F.col("y.sig")).where(ids & able)
+        return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    return met(whole, whole).unionByName(met(less, whole)).distinct()
 
 
 def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
@@ -170,13 +183,23 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
     bands = size_bands(sizes, likeness)
     frequent, rare_share = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
     sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col)).persist()  # for both indexes and both sides of the check
-    whole, every = (signatures(sets, id_col, col, bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
-    cand = candidate_pairs(whole, every, likeness)
-    one = sets.select(F.col(id_col).alias("a"), F.col(col).alias("wa"))
-    two = sets.select(F.col(id_col).alias("b"), F.col(col).alias("wb"))
-    got = cand.join(one, "a").join(two, "b").withColumn("shared", overlap("wa", "wb"))
-    na, nb = F.size("wa"), F.size("wb")
-    return got.where(alike(F.col("shared"), na, nb, likeness)).select("a", "b", "shared", (F.col("shared") / (na + nb - F.col("shared"))).alias("likeness"))
+    whole, less = (signatures(sets, id_col, col, bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
+    # partitioned by signature once, for the joins with itself and with the deletions
+    whole = whole.repartition(int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig").persist()
+    cand = candidate_pairs(whole, less, likeness)
+    return verified(cand, sets, id_col, col, likeness)
+
+
+def verified(cand: DataFrame, sets: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
+    """(a, b, shared, likeness) of those candidate pairs that have the likeness.
+
+    Both sides read the sets by the same exchange, which is why nothing of it is renamed before the joins.
+    """
+    x, y = sets.alias("x"), sets.alias("y")
+    both = cand.join(x, F.col("a") == F.col(f"x.{id_col}")).join(y, F.col("b") == F.col(f"y.{id_col}"))
+    got = both.select("a", "b", overlap(F.col(f"x.{col}"), F.col(f"y.{col}")).alias("shared"), F.size(f"x.{col}").alias("na"), F.size(f"y.{col}").alias("nb"))
+    n = F.col("na") + F.col("nb") - F.col("shared")
+    return got.where(alike(F.col("shared"), F.col("na"), F.col("nb"), likeness)).select("a", "b", "shared", (F.col("shared") / n).alias("likeness"))
 
 
 def record_sets(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -195,7 +218,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], likeness:
     """
     recs = record_sets(df.withColumnsRenamed({id_col: "rec"}), "rec", text_cols)
     found = similar_sets(recs, "ws_id", "ws", likeness)
-    m = members(recs, "ws_id", "rec", WHOLE)
+    m = members(recs, "ws_id", "rec", WHOLE).persist()
     link = m.where("linking")
     across = found.join(link.select(F.col("ws_id").alias("a"), F.col("rec").alias("ra")), "a").join(link.select(F.col("ws_id").alias("b"), F.col("rec").alias("rb")), "b")
     across = across.where("ra <> rb").select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))

@@ -72,12 +72,19 @@ def holds(hay: ColumnLike, needle: ColumnLike) -> Column:
 
 
 def token_f1(predicted: ColumnLike, gold: ColumnLike) -> Column:
-    """F1 over the multisets of tokens; 1 if both are empty, 0 if they share none."""
-    p, g = tokens(predicted), tokens(gold)
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, x: acc + F.least(times(p, x), times(g, x)))
-    np_, ng, k = F.size(p).cast("double"), F.size(g).cast("double"), shared.cast("double")
-    return F.when((np_ == 0) & (ng == 0), F.lit(1.0)).when(k == 0, F.lit(0.0)).otherwise(2 * (k / np_) * (k / ng) / (k / np_ + k / ng))
+    """F1 over the multisets of tokens; 1 if both are empty, 0 if they share none.
+
+    The tokens are bound to a lambda's variable: as plain expressions they would be made anew for every comparison.
+    """
+
+    def f1(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        times = lambda arr, t: F.size(F.filter(arr, lambda y: y == t))
+        k = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda acc, t: acc + F.least(times(p, t), times(g, t))).cast("double")
+        np_, ng = F.size(p).cast("double"), F.size(g).cast("double")
+        return F.when((np_ == 0) & (ng == 0), F.lit(1.0)).when(k == 0, F.lit(0.0)).otherwise(2 * (k / np_) * (k / ng) / (k / np_ + k / ng))
+
+    return F.transform(F.array(F.struct(tokens(predicted).alias("p"), tokens(gold).alias("g"))), f1)[0]
 
 
 def exact_match(predicted: ColumnLike, gold: ColumnLike) -> Column:

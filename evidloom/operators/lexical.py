@@ -29,11 +29,15 @@ def collection_stats(docs: DataFrame, scope: list[str], text: str) -> DataFrame:
 
 def postings(docs: DataFrame, scope: list[str], doc: list[str], text: str, k1: float = K1, b: float = B) -> DataFrame:
     """scope, doc, term, weight: what a term of a text adds to its score each time a query has it."""
+    # within a document's scope a term's texts fit a window, and the queries join on the same partitioning; over a
+    # whole collection a frequent term is in any part of it, so its texts are counted apart, with partial sums
     tc = term_counts(docs, [*scope, *doc], text)
-    df = tc.groupBy(*scope, "term").agg(F.count("*").cast("double").alias("df"))
+    if scope:
+        x = tc.withColumn("df", F.count("*").over(Window.partitionBy(*scope, "term")).cast("double"))
+    else:
+        x = tc.join(tc.groupBy("term").agg(F.count("*").cast("double").alias("df")), "term")
     st = collection_stats(docs, scope, text)
     # one row of statistics a scope; without a scope it is a single row, whose values are taken as such
-    x = tc.join(df, [*scope, "term"])
     if scope:
         x = x.join(st, scope)
         n, avgdl = F.col("n"), F.col("avgdl")

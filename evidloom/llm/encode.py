@@ -11,8 +11,10 @@ first one after it, and encoded again; the window grows until the new ids agree
 from __future__ import annotations
 
 import base64
+import importlib.util
 import os
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,19 @@ _SURE = regex.compile(r"(?<=\p{L})(?= \p{L})")
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _tokenizers(folder: str) -> ModuleType:
+    """The module in the tokenizers' folder, which has the pattern of their pre-tokens."""
+    spec = importlib.util.spec_from_file_location("public_tokenizers_of_folder", os.path.join(folder, "__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
 class Encoder:
     """byte-level BPE over pre-tokens, with the ids of each pre-token remembered as 16-bit numbers."""
 
     def __init__(self, ranks_file: str) -> None:
-        import public_tokenizers as P
-
+        P = _tokenizers(os.path.dirname(ranks_file))
         with open(ranks_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}

@@ -91,4 +91,9 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """WITH RECURSIVE e AS (SELECT a.source AS s, b.source AS t FROM (SELECT DISTINCT final_id, source FROM arafa) a JOIN (SELECT DISTINCT final_id, source FROM arafa) b ON a.final_id = b.final_id AND a.source <> b.source
+        UNION SELECT source, resolved_pageid FROM source_verification WHERE resolved_pageid > 0),
+      u AS (SELECT s, t FROM e UNION SELECT t, s FROM e), r AS (SELECT s AS a, s AS b FROM u UNION SELECT r.a, u.t FROM r JOIN u ON u.s = r.b)
+      SELECT DISTINCT a AS source_a, b AS source_b FROM r WHERE a < b AND a IN (SELECT source FROM arafa) AND b IN (SELECT source FROM arafa)""",
+}

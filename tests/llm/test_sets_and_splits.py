@@ -108,6 +108,16 @@ def test_cross_split_equals_brute_force(spark):
     assert crosssplit.cross_split_pairs(df, lo.limit(0), "final_id", "claim", "evidence").count() == 0
 
 
+def test_copies_across_splits_stay_linear(spark, monkeypatch):
+    monkeypatch.setattr(crosssplit, "WHOLE", 4)
+    recs = [(i, "one two three four five six seven", "some evidence stands here today") for i in range(40)] + [(90, "one two three four five six eight", "some evidence stands here today")]
+    where = [(i, "train" if i < 25 else "val") for i in range(40)] + [(90, "test")]
+    df = spark.createDataFrame(recs, "final_id long, claim string, evidence string")
+    lo = spark.createDataFrame(where, "final_id long, split string")
+    got = {tuple(r) for r in crosssplit.cross_split_pairs(df, lo, "final_id", "claim", "evidence").collect()}
+    assert {(0, i) for i in range(25, 40)} | {(i, 25) for i in range(25)} | {(i, 90) for i in range(25)} == got
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)] + [(7, 7), (None, 3), (3, None), (0, 1)]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
 from evidloom.operators import dense, lexical, match, metrics, profile, quality, relate, resolve, spans, splitting, treeagg, windows
-from evidloom.session import table
+from evidloom.session import shared_folder, table
+from evidloom.streaming.resume import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,12 +531,7 @@ def resolution_cascade(s: SparkSession, d: str) -> DataFrame:
 @query
 def resume_stream(s: SparkSession, d: str) -> DataFrame:
     """The events run through the resumable stream into a fresh folder: each event once."""
-    import tempfile
-
-    from evidloom.streaming.resume import run_available
-
-    shared = s.conf.get("spark.checkpoint.dir", None)
-    base = tempfile.mkdtemp(prefix="stream-", dir=shared.removeprefix("file://") if shared and shared.startswith("file://") else None) if not shared or shared.startswith("file://") else f"{shared}/stream-{id(s)}"
+    base = shared_folder(s, "stream")
     folder = f"{base}/in"
     e = table(s, d, "events")
     e.select("event_id", "user_id", "event_type").write.mode("overwrite").parquet(folder)

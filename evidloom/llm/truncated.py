@@ -26,7 +26,6 @@ CHECKED = ("آخر تحقق", "Last checked")
 #: Words that a partition holds before it hands on its counts.
 HELD = 300_000
 
-_TRAIL = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85 " + INVISIBLE
 _CLOSED = regex.compile(r"[.!?؟۔।॥。！？｡．][\"'»”’」』)）\]]*$")
 _MARK = regex.compile(r"(?:…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|(?<=\s)\.\.\.)$")
 _NOTE = regex.compile(r"[\p{P}\p{L}\p{N}\p{M}]\s*(?:\[\d+\])+$")
@@ -43,7 +42,10 @@ def ending(text: str | None) -> str:
     blank, thai (never cut), whole (a closed sentence, note number, verdict or date), category (whole if its last
     word is one), mark (of having been cut), sign (an unfinished entity, escape, tag, link or character), open.
     """
-    t = (text or "").rstrip(_TRAIL)
+    t, before = text or "", None
+    while t != before:  # white space of any kind and what can't be seen, in any order
+        before = t
+        t = t.rstrip().rstrip(INVISIBLE)
     if not t:
         return "blank"
     line = t.rsplit("\n", 1)[-1]

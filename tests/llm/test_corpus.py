@@ -77,7 +77,7 @@ def test_leaked_words_can_be_removed(spark):
 ENDINGS = [
     ("Whole sentence.", "whole"), ("Whole!”", "whole"), ("Whole... ", "whole"), ("نص كامل؟\n", "whole"), ("Noted. [22]", "whole"), ("x.\n\nالحكم: مدعوم", "whole"), ("x.\n\nالحکم: معلومات غیر کافیة", "whole"), ("x.\nآخر تحقق: 24/6/2030", "whole"), ("x.\n[[تصنيف:كلمة]]", "whole"),
     ("x.\nتصنيف: كلمة", "category"), ("x.\n[[تصنيف:كل", "sign"), ("x.\nالحكم: مدع", "open"), ("x.\nآخر تحقق: 24/6/20", "open"), ("mid wor", "open"), ("mid word,", "open"), ("more [...]", "mark"), ("more…", "mark"), ("more ...", "mark"), ("bad �", "sign"), ("esc \\u06", "sign"), ("ent&am", "sign"), ("tag <br", "sign"), ("tpl {{cite", "sign"), ("see [http", "sign"),
-    ("ภาษาไทย", "thai"), ("ภาษาไทย [...]", "thai"), ("", "blank"), (None, "blank"), (" ​\n", "blank"), ("( open", "open"),
+    ("ภาษาไทย", "thai"), ("ภาษาไทย [...]", "thai"), ("", "blank"), (None, "blank"), (" ​\n", "blank"), ("\u00a0", "blank"), ("\u2003\ufeff\u00a0", "blank"), ("Whole.\u00a0\u200b ", "whole"), ("( open", "open"),
 ]
 
 

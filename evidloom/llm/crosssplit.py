@@ -3,10 +3,11 @@
 A record is normalised to its distinct words in an order that a hash gives (so reordering, repetition, case
 and unseen characters play no part). A cut falls after a word whose hash says so; it depends on that word only,
 so an edit changes the chunk it falls into and the rest of the record is cut as before. Several orders give
-several sets of chunks. Chunks of fewer than two words that aren't frequent say little and are left out; short
-records are found by their rarest words instead, as many that two alike records share one. The digests of the
-chunks are joined across splits, the lengths of shared chunks are summed into the share of the record that they
-cover, and the pairs that remain are verified by the likeness of the texts themselves.
+several sets of chunks. Chunks of fewer than two words that aren't frequent say little and are left out. Records
+that are short or have few rare words are not covered by what is left: every record is indexed by its rarest words
+too, as many that two alike records share one, and those not covered are looked for there, among all others. The
+digests of the chunks are joined across splits, the lengths of shared chunks are summed into the share of the record
+that they cover, and the pairs that remain are verified by the likeness of the texts themselves.
 """
 
 from __future__ import annotations
@@ -18,20 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, mixed, overlap, with_word_sets
+from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, mixed, overlap, with_word_sets, word_counts
 
 #: Orders in which each record is cut, the words that a chunk needs beyond frequent ones, one cut in CUT words.
-#: With 16 orders, records of 14 words, 6 in 10 of them rare, share a chunk at a likeness of 0.6 in 99.5 of 100
-#: simulated pairs, from 0.65 on in 99.8.
+#: With 16 orders, records of 16 words, 9 of them rare, share a chunk at a likeness of 0.6 in 99.7 of 100 simulated
+#: pairs, with 8 rare words in 98.9, with 5 in 82.7, with 2 in 18.1, with 1 in none.
 ORDERS, NEEDED, CUT = 16, 2, 2
 #: Copies of a record are paired in full with up to so many copies of another in each split.
 WHOLE = 1000
-#: Records of so many words are looked for by their rarest words.
-SHORT = 10
-#: A frequent word is in more than this share of the records, and in more than LEAST.
+#: Records of so many words, with fewer rare words than FEW, or with more frequent words than rare ones, are looked
+#: for by their rarest words.
+SHORT, FEW = 10, 8
+#: A frequent word is in more than this share of the different texts, and in more than LEAST.
 FREQUENT, LEAST = 0.01, 200
+#: Words in more than this share of the texts, and in more than COUNTED_LEAST, are ordered by how many have them, the rarer ones by hash.
+COUNTED, COUNTED_LEAST = 0.0001, 5
 
-def chunk_digests(sets: DataFrame, id_col: str, col: str, carry: list[str], frequent: np.ndarray, likeness: float) -> DataFrame:
+
+def chunk_digests(sets: DataFrame, id_col: str, col: str, carry: list[str], frequent: np.ndarray) -> DataFrame:
     """(digest, id, length in words, n) and ``carry``: the content-defined chunks of each set."""
     src = sets.select(id_col, col, *carry)
     kinds = dict(src.dtypes)
@@ -60,16 +65,6 @@ def chunk_digests(sets: DataFrame, id_col: str, col: str, carry: list[str], freq
                 digests.append(mixed(total, 11)[use])
                 recs.append(r[starts][use])
                 lengths.append(lens[use])
-            few = n[rec] <= SHORT
-            if few.any():
-                w, r, ra = v[few], rec[few], rare[few]
-                order = np.lexsort((w, ~ra, r))
-                w, r = w[order], r[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                use = place < n[r] - np.ceil(likeness * n[r] - 1e-9) + 1
-                digests.append(mixed(w[use], 12))
-                recs.append(r[use])
-                lengths.append(np.zeros(use.sum(), np.int64))
             d, r, ln = np.concatenate(digests), np.concatenate(recs), np.concatenate(lengths)
             take = pa.array(r)
             yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(take), pa.array(ln.astype(np.int32)), pa.array(n[r].astype(np.int32)), *(b.column(c).take(take) for c in carry)], ["digest", id_col, "length", "n", *carry])
@@ -77,6 +72,51 @@ def chunk_digests(sets: DataFrame, id_col: str, col: str, carry: list[str], freq
     return src.mapInArrow(run, schema)
 
 
+def counted_words(sets: DataFrame, col: str, rows: int, words_total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, n): the words in more than COUNTED of the ``rows`` sets, sorted, and how many have each; bounded like ``frequent_words``."""
+    line = max(COUNTED * rows, COUNTED_LEAST)
+    bound = int(words_total / line) + 1
+    got = word_counts(sets, col).where(F.col("n") > line).limit(bound + 1).collect()
+    assert len(got) <= bound, "more counted words than the bound allows"
+    w, n = np.array([r.word for r in got], dtype=np.int64).view(np.uint64), np.array([r.n for r in got], dtype=np.int64)
+    order = np.argsort(w)
+    return w[order], n[order]
+
+
+def rarest_words(sets: DataFrame, id_col: str, col: str, carry: list[str], counted: tuple[np.ndarray, np.ndarray], line: float, likeness: float) -> DataFrame:
+    """(digest, id, n, uncovered) and ``carry``: of each set its rarest words, as many that two sets of the likeness share one.
+
+    All sets take their words in one order, which is what the guarantee needs (prefix filter). ``line`` is the
+    number of sets from which on a word is frequent.
+    """
+    src = sets.select(id_col, col, *carry)
+    kinds = dict(src.dtypes)
+    schema = ", ".join(["digest bigint", f"`{id_col}` bigint", "n int", "uncovered boolean", *(f"`{c}` {kinds[c]}" for c in carry)])
+    known, often = counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, off = flat_of(b.column(1))
+            n = np.diff(off)
+            if not len(v):
+                continue
+            rec = np.repeat(np.arange(len(n)), n)
+            count = np.zeros(len(v), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                count = np.where(known[at] == v, often[at], 0)
+            rares = np.bincount(rec, weights=count <= line, minlength=len(n))
+            uncovered = (n <= SHORT) | (rares < FEW) | (2 * rares < n)
+            order = np.lexsort((v, count, rec))
+            place = np.arange(len(rec)) - np.searchsorted(rec, rec)
+            use = place < n[rec] - np.ceil(likeness * n[rec] - 1e-9) + 1
+            d, r = mixed(v[order][use], 12), rec[use]
+            take = pa.array(r)
+            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(take), pa.array(n[r].astype(np.int32)), pa.array(uncovered[r]), *(b.column(c).take(take) for c in carry)], ["digest", id_col, "n", "uncovered", *carry])
+
+    return src.mapInArrow(run, schema)
+
+
 def split_records(records: DataFrame, splits: DataFrame, key: str, first: str, second: str, split_col: str) -> DataFrame:
     """key, split and the word sets of both texts, one row for each different (key, split, texts)."""
     s = splits.where(F.col(key).isNotNull() & F.col(split_col).isNotNull()).select(F.col(key).alias("rec"), F.col(split_col).alias("split")).distinct()
@@ -91,14 +131,26 @@ def overlapping(recs: DataFrame, likeness: float, train: str = "train", held_out
     the same two texts are a class: classes are compared, and then expanded to their records. Of two alike classes
     of which one has more than WHOLE records in a split, every record is paired with the other class's first one.
     """
-    rows, total = recs.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
-    frequent, _ = frequent_words(recs, "c", rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
     held = F.col("split").isin(*held_out)
-    texts = recs.groupBy("c_id").agg(F.first("c").alias("c"), F.max((F.col("split") == train).cast("int")).alias("tr"), F.max(held.cast("int")).alias("ho"))
-    chunks = chunk_digests(texts.where("tr + ho > 0"), "c_id", "c", ["tr", "ho"], frequent, likeness)
-    a = chunks.where("tr = 1").select("digest", F.col("c_id").alias("ca"), F.col("n").alias("na"))
-    b = chunks.where("ho = 1").select("digest", F.col("c_id").alias("cb"), "length", "n")
-    met = a.join(b.hint("shuffle_hash"), "digest").where((F.col("ca") != F.col("cb")) & may_be_alike("ca", "cb", "na", "n", likeness))
+    texts = recs.groupBy("c_id").agg(F.first("c").alias("c"), F.max((F.col("split") == train).cast("int")).alias("tr"), F.max(held.cast("int")).alias("ho")).persist()
+    rows, total = texts.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+    frequent, _ = frequent_words(texts, "c", rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
+    counted = counted_words(texts, "c", rows, total) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    asked = texts.where("tr + ho > 0")
+
+    def sides(x: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+        rest = [c for c in more if c != "length"]
+        return x.where("tr = 1").select("digest", F.col("c_id").alias("ca"), F.col("n").alias("na"), *rest), x.where("ho = 1").select("digest", F.col("c_id").alias("cb"), "n", *more)
+
+    def meet(a: DataFrame, b: DataFrame, length: Column) -> DataFrame:
+        met = a.join(b.hint("shuffle_hash"), "digest").where((F.col("ca") != F.col("cb")) & may_be_alike("ca", "cb", "na", "n", likeness))
+        return met.select("ca", "cb", length.alias("length"), "n")
+
+    met = meet(*sides(chunk_digests(asked, "c_id", "c", ["tr", "ho"], frequent), ["length"]), F.col("length"))
+    a, b = sides(rarest_words(asked, "c_id", "c", ["tr", "ho"], counted, max(FREQUENT * rows, LEAST), likeness).persist(), ["uncovered"])
+    words_of = lambda x: x.drop("uncovered")
+    for x, y in ((a.where("uncovered"), b), (a.where("not uncovered"), b.where("uncovered"))):
+        met = met.unionByName(meet(words_of(x), words_of(y), F.lit(0)))
     shared = met.groupBy("ca", "cb").agg((F.sum("length") / (F.lit(ORDERS) * F.first("n"))).alias("share"))
     one, two = texts.select(F.col("c_id").alias("ca"), F.col("c").alias("wa")), texts.select(F.col("c_id").alias("cb"), F.col("c").alias("wb"))
     n_shared = overlap("wa", "wb")

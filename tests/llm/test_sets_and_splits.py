@@ -118,6 +118,25 @@ def test_copies_across_splits_stay_linear(spark, monkeypatch):
     assert {(0, i) for i in range(25, 40)} | {(i, 25) for i in range(25)} | {(i, 90) for i in range(25)} == got
 
 
+def test_hot_claims_meet_their_edited_versions(spark):
+    rng = random.Random(9)
+    hot, near = [f"h{i}" for i in range(14)], [f"k{i}" for i in range(14)]
+    claims = [(" ".join(hot), "train")] * 250
+    claims += [(" ".join([*near, f"own{i}"]), "train") for i in range(250)]
+    claims += [(" ".join(f"x{rng.randrange(3000)}" for _ in range(14)), rng.choice(["train", "val"])) for _ in range(250)]
+    for base in (hot, near):
+        for k in range(6):  # likeness of 0.6 to 0.87 with the hot claim
+            w = list(base)
+            for i in rng.sample(range(14), 1 + k % 3):
+                w[i] = f"new{k}{i}"
+            claims.append((" ".join(w), rng.choice(["val", "test"])))
+    df = spark.createDataFrame([(i, c, "some evidence stands here today") for i, (c, _) in enumerate(claims)], "final_id long, claim string, evidence string")
+    lo = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(claims)], "final_id long, split string")
+    want = {(i, j) for (i, (a, x)), (j, (b, y)) in combinations(enumerate(claims), 2) if (x == "train") != (y == "train") and likeness(a, b) >= 0.6}
+    got = {tuple(r) for r in crosssplit.cross_split_pairs(df, lo, "final_id", "claim", "evidence").collect()}
+    assert got == want and len(want) > 2000
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)] + [(7, 7), (None, 3), (3, None), (0, 1)]

@@ -169,6 +169,14 @@ def test_linked_sources(spark):
     assert splits.linked_sources(r, "final_id", "source", p.limit(0)).count() == 1
 
 
+def test_large_components_come_with_all_pairs(spark):
+    r = spark.createDataFrame([(i, i, "nei") for i in range(3100)], "final_id long, source long, judgement string")
+    p = spark.createDataFrame([(i, 9999) for i in range(3050)], "source long, resolved_pageid long")
+    got = splits.linked_sources(r, "final_id", "source", p)
+    assert got.count() == got.distinct().count() == 3050 * 3049 // 2
+    assert got.where("source_a >= source_b or source_b >= 3050").count() == 0
+
+
 def test_splits_hold_together_and_balance(spark):
     rng = random.Random(4)
     rows = []

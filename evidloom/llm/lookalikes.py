@@ -110,15 +110,15 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms), pa.array(toks, kind), pa.array([latin_words(f) for f in forms], pa.list_(pa.string()))], ["t", "base", "tokens", "words"])
 
 
-#: Pairs of a form are returned in full up to so many keys; beyond it each key pairs with the form's first one.
+#: Pairs of a form are returned in full up to so many keys; beyond it each key pairs with the first one of each other text.
 WHOLE = 2000
 
 
 def same_looking(forms: DataFrame) -> DataFrame:
     """(key_a, key_b): pairs of different keys (bigint) whose texts differ but have one form, the smaller key first.
 
-    Keys with the very same text are no pair. A form with more than WHOLE keys gives each key's pair with the
-    first key that has another text.
+    Keys with the very same text are no pair. A form with more than WHOLE keys gives each key's pairs with the
+    first key of each other text, so exact copies alone are shortened and each two texts are paired.
     """
     f = forms.select("form", "raw", F.col("key").cast("bigint").alias("key")).distinct()
     # forms of one text only, most of them, leave before anything is joined
@@ -128,10 +128,9 @@ def same_looking(forms: DataFrame) -> DataFrame:
     a, b = small.select("form", F.col("raw").alias("ra"), F.col("key").alias("key_a")), small.select("form", F.col("raw").alias("rb"), F.col("key").alias("key_b"))
     pairs = a.join(b, "form").where("key_a < key_b and ra <> rb").select("key_a", "key_b")
     large = x.where(F.col("keys") > WHOLE)
-    firsts = large.groupBy("form", "raw").agg(F.min("key").alias("k")).groupBy("form").agg(F.min_by("raw", "k").alias("r1"), F.min("k").alias("k1"))
-    other = large.join(firsts, "form").where("raw <> r1").groupBy("form").agg(F.min("key").alias("k2"))
-    star = large.join(firsts, "form").join(other, "form").select("key", F.when(F.col("raw") == F.col("r1"), F.col("k2")).otherwise(F.col("k1")).alias("to"))
-    star = star.where(F.col("key") != F.col("to")).select(F.least("key", "to").alias("key_a"), F.greatest("key", "to").alias("key_b"))
+    firsts = large.groupBy("form", "raw").agg(F.min("key").alias("to")).withColumnRenamed("raw", "other")
+    star = large.join(firsts, "form").where((F.col("raw") != F.col("other")) & (F.col("key") != F.col("to")))
+    star = star.select(F.least("key", "to").alias("key_a"), F.greatest("key", "to").alias("key_b"))
     return pairs.unionByName(star).distinct()
 
 

@@ -190,6 +190,17 @@ def test_large_forms_stay_linear(spark, monkeypatch):
     assert len(got) < 10
 
 
+def test_large_forms_pair_all_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "WHOLE", 3)
+    texts = ["same", "s\u200bame", "sa\u200bme", "sam\u200be"]
+    rows = [("claim", 1, str(i), "same") for i in range(20)] + [("claim", 1, str(20 + i), texts[1 + i % 3]) for i in range(6)]
+    text = {int(k): t for _, _, k, t in rows}
+    got = [tuple(r) for r in lookalikes.same_looking(forms(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and all(a < b and text[a] != text[b] for a, b in got)
+    first = {t: min(k for k in text if text[k] == t) for t in texts}
+    assert {(min(k, f), max(k, f)) for k in text for t, f in first.items() if t != text[k]} == set(got)
+
+
 def test_empty_tables(spark):
     f = forms(spark, [])
     assert lookalikes.same_looking(f).count() == lookalikes.found_again(f, "a", "b").count() == 0

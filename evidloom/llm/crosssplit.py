@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, mixed, overlap, with_word_sets, word_counts
+from evidloom.session import checkpointed
 
 #: Orders in which each record is cut, the words that a chunk needs beyond frequent ones, one cut in CUT words.
 #: With 16 orders, records of 16 words, 9 of them rare, share a chunk at a likeness of 0.6 in 99.7 of 100 simulated
@@ -151,7 +152,8 @@ def overlapping(recs: DataFrame, likeness: float, train: str = "train", held_out
     words_of = lambda x: x.drop("uncovered")
     for x, y in ((a.where("uncovered"), b), (a.where("not uncovered"), b.where("uncovered"))):
         met = met.unionByName(meet(words_of(x), words_of(y), F.lit(0)))
-    shared = met.groupBy("ca", "cb").agg((F.sum("length") / (F.lit(ORDERS) * F.first("n"))).alias("share"))
+    # cut from its lineage: what follows would hold the plan of all three meetings several times, in the driver's memory
+    shared = checkpointed(met.groupBy("ca", "cb").agg((F.sum("length") / (F.lit(ORDERS) * F.first("n"))).alias("share")))
     one, two = texts.select(F.col("c_id").alias("ca"), F.col("c").alias("wa")), texts.select(F.col("c_id").alias("cb"), F.col("c").alias("wb"))
     n_shared = overlap("wa", "wb")
     near = shared.join(one, "ca").join(two, "cb").withColumn("k", n_shared).where(alike(F.col("k"), F.size("wa"), F.size("wb"), likeness))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,9 @@ class Hasher:
     def distinct(self, text: str | None) -> np.ndarray:
         return np.array(sorted(set(self.sequence(text))), dtype=np.uint64)
 
+    def first_seen(self, text: str | None) -> np.ndarray:
+        return np.array(list(dict.fromkeys(self.sequence(text))), dtype=np.uint64)
+
 
 def list_array(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -54,8 +57,8 @@ def flat_of(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.values).view(np.uint64)[off[0] : off[-1]], off - off[0]
 
 
-#: Bits of a set's id that tell the parity of its words in so many groups; the others are a plain hash.
-PARITIES = 48
+#: Groups of words whose parity a sketch tells, and the largest size that its other bits can hold.
+PARITIES, MOST_SIZE = 48, 0xFFFF
 
 
 def parities(flat: np.ndarray, n: np.ndarray, groups: int, seed: int) -> np.ndarray:
@@ -68,20 +71,21 @@ def parities(flat: np.ndarray, n: np.ndarray, groups: int, seed: int) -> np.ndar
     return out
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """Ids of word sets that also bound how much two sets differ: see ``differ_at_least``."""
-    n = np.array([len(s) for s in sets])
-    parity = parities(np.concatenate(sets) if sets else np.zeros(0, np.uint64), n, PARITIES, 77)
-    plain = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) & 0xFFFF for s in sets], dtype=np.uint64)
-    return ((parity << np.uint64(16)) | plain).view(np.int64)
+def digest(words_of: np.ndarray) -> bytes:
+    """The identity of a sequence of word hashes: 128 bits of all of it."""
+    return xxhash.xxh3_128_digest(words_of.tobytes())
+
+
+def sketches(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A bound for how much two sets differ, no identity: the parity of their words in groups, and their size."""
+    return ((parities(flat, n, PARITIES, 78) << np.uint64(16)) | np.minimum(n, MOST_SIZE).astype(np.uint64)).view(np.int64)
 
 
-def differ_at_least(a: str | Column, b: str | Column) -> Column:
-    """A lower bound of the number of words that only one of two sets has, from their ids.
+def differ_at_least(a: Column, b: Column) -> Column:
+    """A lower bound of the number of words that only one of two sets has, from their sketches.
 
     A group of words whose parity differs holds at least one such word.
     """
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 64 - PARITIES))
 
 
@@ -91,30 +95,34 @@ def most_apart(na: Column, nb: Column, least: float) -> Column:
     return both - 2 * F.ceil(F.lit(least / (1 + least)) * both - 1e-9)
 
 
-def may_be_alike(a: str, b: str, na: str | Column, nb: str | Column, least: float) -> Column:
-    """False only for sets whose ids show that they differ in too many words for the likeness."""
-    na, nb = (F.col(x) if isinstance(x, str) else x for x in (na, nb))
-    return differ_at_least(a, b) <= most_apart(na, nb, least)
+def may_be_alike(a: Column, b: Column, least: float) -> Column:
+    """False only for sets whose sketches show that their sizes or words are too far apart for the likeness."""
+    na, nb = a.bitwiseAND(MOST_SIZE), b.bitwiseAND(MOST_SIZE)
+    sizes = F.least(na, nb) >= F.lit(float(least)) * F.greatest(na, nb) - 1e-9
+    return (sizes & (differ_at_least(a, b) <= most_apart(na, nb, least))) | (F.greatest(na, nb) == MOST_SIZE)
 
 
-def with_word_sets(df: DataFrame, keys: list[str], texts: dict[str, list[str]]) -> DataFrame:
-    """``keys`` of every row and, for each name in ``texts``, the set of words of its columns taken together.
+def with_word_sets(df: DataFrame, keys: list[str], texts: dict[str, list[str]], ordered: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` of every row and, for each name in ``texts``, the words of its columns taken together, each once.
 
-    ``name`` is the array of word hashes, ``name_id`` the id of that set (``set_ids``); null texts count as empty.
+    ``name`` is the array of word hashes, sorted, or for the names in ``ordered`` as the text first has them;
+    ``name_id`` the 128-bit digest of that array and ``name_text`` that of the texts; null texts count as empty.
     """
     src = df.select(*keys, *{c for cs in texts.values() for c in cs})
     kinds = dict(src.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{n}` array<bigint>, `{n}_id` bigint" for n in texts)])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{n}` array<bigint>, `{n}_id` binary, `{n}_text` binary" for n in texts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for b in batches:
             cols = [b.column(k) for k in keys]
-            for cs in texts.values():
+            for name, cs in texts.items():
                 values = [b.column(c).to_pylist() for c in cs]
-                sets = [h.distinct("\n".join(x for x in row if x)) for row in zip(*values, strict=True)]
-                cols += [list_array(sets), pa.array(set_ids(sets))]
-            yield pa.RecordBatch.from_arrays(cols, [*keys, *(x for n in texts for x in (n, f"{n}_id"))])
+                rows = ["\n".join(x for x in row if x) for row in zip(*values, strict=True)]
+                of = h.first_seen if name in ordered else h.distinct
+                sets = [of(t) for t in rows]
+                cols += [list_array(sets), pa.array([digest(s) for s in sets], pa.binary()), pa.array([xxhash.xxh3_128_digest(t.encode()) for t in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, *(x for n in texts for x in (n, f"{n}_id", f"{n}_text"))])
 
     return src.mapInArrow(run, schema)
 
@@ -142,18 +150,20 @@ def word_counts(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(sets: DataFrame, col: str, rows: int, words_total: int, share: float, least: int) -> tuple[np.ndarray, float]:
-    """(words, rare share): the words in more than ``share`` of the ``rows`` sets (and in more than ``least``), sorted, and what part of all words is none of them.
+def frequent_words(sets: DataFrame, col: str, rows: int, words_total: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, n): the words in more than ``share`` of the ``rows`` sets (and in more than ``least``), sorted, and how many have each.
 
     The list is bounded: each set has ``words_total / rows`` words on average, so at most that number
     divided by ``share`` can be so frequent. The bound is checked before anything reaches the driver.
     """
     line = max(share * rows, least)
     bound = int(words_total / line) + 1
-    got = word_counts(sets, col).where(F.col("n") > line).limit(bound + 1).collect()
-    assert len(got) <= bound, "more frequent words than the bound allows"
-    hot = np.sort(np.array([r.word for r in got], dtype=np.int64).view(np.uint64))
-    return hot, 1.0 - sum(r.n for r in got) / max(1, words_total)
+    got = word_counts(sets, col).where(F.col("n") > line).limit(bound + 1).toPandas()
+    if len(got) > bound:
+        raise RuntimeError("more frequent words than the bound allows")
+    w, n = got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(w)
+    return w[order], n[order]
 
 
 def overlap(a: str | Column, b: str | Column) -> Column:
@@ -174,30 +184,38 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def linked_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, group: str, key: str) -> DataFrame:
-    """Pairs of groups (a, b) as pairs of their members: (``key``_a, ``key``_b), one for each two members."""
-    a = left.select(F.col(group).alias("a"), F.col(key).alias(f"{key}_a"))
-    b = right.select(F.col(group).alias("b"), F.col(key).alias(f"{key}_b"))
-    return pairs.join(a, "a").join(b, "b").select(f"{key}_a", f"{key}_b")
+#: The members of a group are paired in blocks of about so many.
+PAIRED = 1000
 
 
-def members(df: DataFrame, group: str, key: str, whole: int) -> DataFrame:
-    """Distinct (group, key) with ``first``, the group's smallest key, and ``linking``.
+def all_pairs(df: DataFrame, group: str, key: str) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of members of one group.
 
-    In a group of more than ``whole`` keys only the first key links to the outside and to each other
-    member (the group is then a class with its representative); in all others every key does.
+    A large group is divided into blocks of about PAIRED members; each two of its blocks are joined by
+    themselves, so no task holds more than two blocks' pairs for a key.
     """
     d = df.select(group, key).distinct()
-    n = d.groupBy(group).agg(F.count("*").alias("members"), F.min(key).alias("first"))
-    return d.join(n, group).withColumn("linking", (F.col("members") <= whole) | (F.col(key) == F.col("first")))
+    n = d.groupBy(group).agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("_n"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    m = d.join(n, group).withColumn("_k", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = m.select(group, F.col(key).alias("id_a"), F.col("_k").alias("_x"), every.alias("_y"))
+    right = m.select(group, F.col(key).alias("id_b"), every.alias("_x"), F.col("_k").alias("_y"))
+    return left.join(right, [group, "_x", "_y"]).where("id_a < id_b").select("id_a", "id_b")
 
 
-def within_groups(m: DataFrame, group: str, key: str, whole: int) -> DataFrame:
-    """Pairs of members of one group: all pairs, or those with the representative in a larger group."""
-    small = m.where((F.col("members") > 1) & (F.col("members") <= whole)).select(group, key)
-    pairs = small.withColumnRenamed(key, "id_a").join(small.withColumnRenamed(key, "id_b"), group).where("id_a < id_b").select("id_a", "id_b")
-    star = m.where((F.col("members") > whole) & (F.col(key) != F.col("first"))).select(F.col("first").alias("id_a"), F.col(key).alias("id_b"))
-    return pairs.unionByName(star)
+def members(df: DataFrame, group: str, text: str, key: str, whole: int) -> DataFrame:
+    """Distinct (group, text, key) with ``first``, the group's smallest key, ``copy_of``, that of the text, and ``linking``.
+
+    In a group of more than ``whole`` keys a text's first key stands for its copies: it alone links to other
+    texts, in the group and outside. In all others every key does.
+    """
+    d = df.select(group, text, key).distinct()
+    t = d.groupBy(group, text).agg(F.count("*").alias("_n"), F.min(key).alias("copy_of"))
+    n = t.groupBy(group).agg(F.sum("_n").alias("members"), F.min("copy_of").alias("first"))
+    return d.join(t.drop("_n"), [group, text]).join(n, group).withColumn("linking", (F.col("members") <= whole) | (F.col(key) == F.col("copy_of")))
 
 
-ArrowRun = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def within_groups(m: DataFrame, group: str, key: str) -> DataFrame:
+    """Pairs of members of one group: all of those that link, and each other member with the first key of its text."""
+    star = m.where(~F.col("linking")).select(F.col("copy_of").alias("id_a"), F.col(key).alias("id_b"))
+    return all_pairs(m.where((F.col("members") > 1) & F.col("linking")), group, key).unionByName(star)

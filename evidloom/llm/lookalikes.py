@@ -143,5 +143,5 @@ def found_again(forms: DataFrame, evidence: str, chunk: str) -> DataFrame:
 
 def looks_classes(forms: DataFrame) -> DataFrame:
     """(key, class, members): each key with the first key of its form and how many keys have it: membership without pairs."""
-    m = members(forms.select(F.hex("form").alias("form"), "key"), "form", "key", 1)
-    return m.select("key", F.col("first").alias("class"), "members")
+    m = members(forms.select(F.hex("form").alias("form"), "raw", "key"), "form", "raw", "key", 1)
+    return m.select("key", F.col("first").alias("class"), "members").distinct()

@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, differ_at_least, flat_of, frequent_words, members, mixed, most_apart, overlap, parities, with_word_sets, within_groups
+from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, members, mixed, most_apart, overlap, sketches, with_word_sets, within_groups
 
 #: A signature needs a word that fewer than this share of the sets (or than LEAST sets) have.
 FREQUENT, LEAST = 0.005, 200
-#: Sizes that the lower bits of a sketch can hold; larger sets aren't judged by size.
-MOST_SIZE = 0xFFFF
 #: Partitions that a set may be indexed in.
 PARTITIONS = 4
+#: Finer sketches, of 64 groups each, that a candidate pair is judged by.
+WIDE = 4
 #: Copies in groups up to this size are returned as all their pairs, larger groups by their representative.
 WHOLE = 1000
 
@@ -80,7 +80,7 @@ def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
 def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, rare_share: float, deletions: bool) -> DataFrame:
     """(sig, id, sk): a signature of each allocated segment of each set, or else of the segment less each of its words.
 
-    sk tells, like the id, the parity of the words in groups, by another hash, and in its lower bits the set's size.
+    sk is the set's sketch, by which most pairs that merely meet are seen to be too far apart.
     """
     segments = [segments_for(hi, likeness, rare_share) for _, hi in bands]
 
@@ -92,7 +92,7 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
             rec = np.repeat(np.arange(len(n)), n)
             at = np.searchsorted(frequent, v)
             rare = np.ones(len(v), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != v
-            sk = ((parities(v, n, 48, 78) << np.uint64(16)) | np.minimum(n, MOST_SIZE).astype(np.uint64)).view(np.int64)
+            sk = sketches(v, n)
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for k, (lo, hi) in enumerate(bands):
                 active = (n <= hi) & (np.floor(n / likeness + 1e-9) > lo) & (n > 0)
@@ -153,58 +153,71 @@ def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray
 def candidate_pairs(whole: DataFrame, less: DataFrame, likeness: float) -> DataFrame:
     """Distinct (a, b), a < b, of ids that meet in a whole segment, or in a segment of one and the other's less a word.
 
-    Pairs whose sizes or parities show that they can't have the likeness are dropped where they meet, before
-    anything is shuffled again: of sets that happen to share a segment hardly one in a million passes.
+    Pairs whose sketches show that they can't have the likeness are dropped where they meet, before anything is
+    shuffled again. Neither side is partitioned beforehand, so the join's own exchanges are there for the runtime
+    to split where a signature is frequent.
     """
-
-    def met(one: DataFrame, other: DataFrame) -> DataFrame:
-        x, y = one.alias("x"), other.alias("y")
-        ids = (F.col("x.id") < F.col("y.id")) if one is other else (F.col("x.id") != F.col("y.id"))
-        nx, ny = (F.col(c).bitwiseAND(MOST_SIZE) for c in ("x.sk", "y.sk"))
-        sizes = F.least(nx, ny) >= F.lit(likeness) * F.greatest(nx, ny) - 1e-9
-        parity = F.bit_count(F.shiftrightunsigned(F.col("x.sk").bitwiseXOR(F.col("y.sk")), 16))
-        able = (sizes & (parity <= most_apart(nx, ny, likeness)) & (differ_at_least("x.id", "y.id") <= most_apart(nx, ny, likeness))) | (F.greatest(nx, ny) == MOST_SIZE)
-        near = x.join(y.hint("shuffle_hash"), F.col("x.sig") == F.col("y.sig")).where(ids & able)
-        return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-    return met(whole, whole).unionByName(met(less, whole)).distinct()
+    x, y = whole.alias("x"), whole.withColumn("less", F.lit(False)).unionByName(less.withColumn("less", F.lit(True))).alias("y")
+    ids = (F.col("x.id") < F.col("y.id")) | (F.col("y.less") & (F.col("x.id") != F.col("y.id")))
+    near = y.join(x.hint("shuffle_hash"), F.col("x.sig") == F.col("y.sig")).where(ids & may_be_alike(F.col("x.sk"), F.col("y.sk"), likeness))
+    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
-    """(a, b, shared, likeness) of all pairs of different sets, a < b by id, of at least that likeness.
+    """(a, b, shared, likeness) of all pairs of different sets, a < b by digest, of at least that likeness.
 
-    ``rows_of`` has ``id_col`` bigint (the same for the same set) and ``col`` array<bigint> of distinct word
-    hashes, in one or several rows. It is read several times; persist it. Empty sets pair with none, and an
-    empty input gives an empty result.
+    ``rows_of`` has ``id_col``, the digest of the set, and ``col`` array<bigint> of distinct word hashes, in one or
+    several rows. It is read several times; persist it. Empty sets pair with none, and an empty input gives an
+    empty result. The index holds 64 bits of a digest, which only bring sets together: what is paired and
+    verified are the sets that have those bits, each by itself, also if they are several.
     """
     sized = rows_of.select(F.size(col).alias("n")).groupBy("n").count().where("n > 0")
     sizes = {r[0]: r[1] for r in sized.collect()}  # one row per set size
     rows, total = sum(sizes.values()), sum(n * k for n, k in sizes.items())
     bands = size_bands(sizes, likeness)
-    frequent, rare_share = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
-    sets = rows_of.groupBy(id_col).agg(F.first(col).alias(col)).persist()  # for both indexes and both sides of the check
-    whole, less = (signatures(sets, id_col, col, bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
-    # partitioned by signature once, for the joins with itself and with the deletions
-    whole = whole.repartition(int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig").persist()
-    cand = candidate_pairs(whole, less, likeness)
-    return verified(cand, sets, id_col, col, likeness)
+    frequent, often = frequent_words(rows_of, col, rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rare_share = 1.0 - often.sum() / max(1, total)
+    sets = rows_of.groupBy(F.xxhash64(id_col).alias("h")).agg(F.collect_set(F.struct(F.col(id_col).alias("set"), F.col(col).alias("ws"))).alias("same")).persist()  # for both indexes and both sides of the check
+    each = sets.select("h", F.inline("same"))
+    # the joins below read these as they are; rows of no more than 8 numbers, where the sets have a number a word
+    fine = each.select("h", F.size("ws").alias("n"), *(wide_parity("ws", i).alias(f"p{i}") for i in range(WIDE)))
+    whole, less = (signatures(each, "h", "ws", bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
+    cand = candidate_pairs(whole, less, likeness).unionByName(sets.where(F.size("same") > 1).select(F.col("h").alias("a"), F.col("h").alias("b")))
+    return verified(plausible(cand, fine, likeness), sets, likeness)
+
+
+def wide_parity(col: str, seed: int) -> Column:
+    """The parity of a set's words in 64 groups, as one number."""
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))
+    return F.aggregate(col, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseXOR(one(w)))
+
+
+def plausible(cand: DataFrame, fine: DataFrame, likeness: float) -> DataFrame:
+    """The candidate pairs (a, b) that finer sketches leave, so that few pairs carry their sets through the check."""
+    x, y = fine.alias("x"), fine.alias("y")
+    apart = F.greatest(*(F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(WIDE)))
+    both = cand.join(x, F.col("a") == F.col("x.h")).join(y, F.col("b") == F.col("y.h"))
+    return both.where(apart <= most_apart(F.col("x.n"), F.col("y.n"), likeness)).select("a", "b").distinct()
 
 
-def verified(cand: DataFrame, sets: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
-    """(a, b, shared, likeness) of those candidate pairs that have the likeness.
+def verified(cand: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(a, b, shared, likeness) of those candidate pairs that have the likeness, by the sets' digests.
 
     Both sides read the sets by the same exchange, which is why nothing of it is renamed before the joins.
     """
     x, y = sets.alias("x"), sets.alias("y")
-    both = cand.join(x, F.col("a") == F.col(f"x.{id_col}")).join(y, F.col("b") == F.col(f"y.{id_col}"))
-    got = both.select("a", "b", overlap(F.col(f"x.{col}"), F.col(f"y.{col}")).alias("shared"), F.size(f"x.{col}").alias("na"), F.size(f"y.{col}").alias("nb"))
+    both = cand.join(x, F.col("a") == F.col("x.h")).join(y, F.col("b") == F.col("y.h")).select("a", "b", F.explode("x.same").alias("p"), F.col("y.same").alias("_q"))
+    both = both.select("a", "b", "p", F.explode("_q").alias("q")).where("(a <> b and p.set <> q.set) or p.set < q.set")
+    got = both.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b"), overlap("p.ws", "q.ws").alias("shared"), F.size("p.ws").alias("na"), F.size("q.ws").alias("nb"))
     n = F.col("na") + F.col("nb") - F.col("shared")
     return got.where(alike(F.col("shared"), F.col("na"), F.col("nb"), likeness)).select("a", "b", "shared", (F.col("shared") / n).alias("likeness"))
 
 
 def record_sets(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
-    """id, ws_id and ws (the word set) of the rows that have an id and a word; kept for the reads that follow."""
-    r = with_word_sets(df.where(F.col(id_col).isNotNull()), [id_col], {"ws": text_cols})
+    """rec, ws_id, ws_text and ws (the word set) of the rows that have an id and a word; kept for the reads that follow."""
+    texts = {f"_t{i}": c for i, c in enumerate(text_cols)}
+    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rec"), *(F.col(c).alias(t) for t, c in texts.items()))
+    r = with_word_sets(src, ["rec"], {"ws": list(texts)})
     return r.where(F.size("ws") > 0).persist()
 
 
@@ -212,14 +225,28 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: list[str], likeness:
     """(id_a, id_b), id_a < id_b: pairs of different ids that have rows with texts of that likeness.
 
     The texts of a row are taken together; null counts as empty, and rows without any word pair with none.
-    Repeated rows and several rows of one id count once. Ids whose words are the same are a class: all its
-    pairs are returned up to WHOLE ids, beyond that each id's pair with the class's smallest id, through
-    which the links to other classes go. Other columns play no part. An empty table gives no rows.
+    Repeated rows and several rows of one id count once. Ids whose words are the same are a group: all its
+    pairs are returned up to WHOLE ids; beyond that each different text is paired with each other one by its
+    smallest id, and copies of one text with that id (``near_duplicate_classes`` has the membership). Other
+    columns play no part. An empty table gives no rows.
     """
-    recs = record_sets(df.withColumnsRenamed({id_col: "rec"}), "rec", text_cols)
+    recs = record_sets(df, id_col, text_cols)
     found = similar_sets(recs, "ws_id", "ws", likeness)
-    m = members(recs, "ws_id", "rec", WHOLE).persist()
+    m = members(recs, "ws_id", "ws_text", "rec", WHOLE).persist()
     link = m.where("linking")
     across = found.join(link.select(F.col("ws_id").alias("a"), F.col("rec").alias("ra")), "a").join(link.select(F.col("ws_id").alias("b"), F.col("rec").alias("rb")), "b")
     across = across.where("ra <> rb").select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
-    return across.unionByName(within_groups(m, "ws_id", "rec", WHOLE)).distinct()
+    return across.unionByName(within_groups(m, "ws_id", "rec")).distinct()
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str, text_cols: list[str], likeness: float = 0.7) -> DataFrame:
+    """(id, class, copy_of, members, links): one row for each id and word set that it has.
+
+    class is the smallest id with that word set, members how many ids have it, copy_of the smallest id with the
+    very same text, links how many other word sets are alike. Rows without a word have none.
+    """
+    recs = record_sets(df, id_col, text_cols)
+    found = similar_sets(recs, "ws_id", "ws", likeness)
+    links = found.select(F.explode(F.array("a", "b")).alias("ws_id")).groupBy("ws_id").agg(F.count("*").alias("links"))
+    m = members(recs, "ws_id", "ws_text", "rec", WHOLE)
+    return m.join(links, "ws_id", "left").groupBy(F.col("rec").alias("id"), F.col("first").alias("class"), "members", F.coalesce("links", F.lit(0)).alias("links")).agg(F.min("copy_of").alias("copy_of"))

@@ -30,6 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nearset.near_duplicates(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return nearset.near_duplicate_classes(table(spark, d, "arafa"), "final_id", ["claim", "reasoning"], likeness=0.7)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.linked_sources(table(spark, d, "arafa"), "final_id", "source", table(spark, d, "source_verification"))
 
@@ -90,7 +94,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {
     "p4_found": """WITH RECURSIVE e AS (SELECT a.source AS s, b.source AS t FROM (SELECT DISTINCT final_id, source FROM arafa) a JOIN (SELECT DISTINCT final_id, source FROM arafa) b ON a.final_id = b.final_id AND a.source <> b.source
         UNION SELECT source, resolved_pageid FROM source_verification WHERE resolved_pageid > 0),

@@ -13,14 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.llm.arrays import all_pairs
 from evidloom.session import checkpointed
 
 #: Shares of the splits.
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 #: A component with more than this share of all records is placed by itself: at most 1 / LARGE of them.
 LARGE, BLOCK = 0.001, 500
-#: The members of a component are paired in blocks of about so many.
-PAIRED = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,21 +68,6 @@ def linked_sources(records: DataFrame, record_id: str, source: str, pages: DataF
     return all_pairs(grouped_entities(records, record_id, source, pages), "component", "source").select(F.col("id_a").alias("source_a"), F.col("id_b").alias("source_b"))
 
 
-def all_pairs(df: DataFrame, group: str, key: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of members of one group.
-
-    A large group is divided into blocks of about PAIRED members; each two of its blocks are joined by
-    themselves, so no task holds more than two blocks' pairs for a key.
-    """
-    d = df.select(group, key).distinct()
-    n = d.groupBy(group).agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("_n"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    m = d.join(n, group).withColumn("_k", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left = m.select(group, F.col(key).alias("id_a"), F.col("_k").alias("_x"), every.alias("_y"))
-    right = m.select(group, F.col(key).alias("id_b"), every.alias("_x"), F.col("_k").alias("_y"))
-    return left.join(right, [group, "_x", "_y"]).where("id_a < id_b").select("id_a", "id_b")
-
-
 def _place(counts: pd.DataFrame, need: dict[str, dict[str, float]]) -> list[str]:
     """A split for each row of ``counts`` (one column per label, rows in a fixed order). ``need`` is used up."""
     labels = list(counts.columns)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from evidloom.llm import crosssplit, nearset, splits
-from evidloom.llm.arrays import set_ids
+from evidloom.llm.arrays import digest, sketches, with_word_sets
 from evidloom.llm.textforms import words
 
 
@@ -69,14 +69,47 @@ def test_bands_and_bounds():
     assert nearset.size_bands({}, 0.7) == []
 
 
-def test_ids_bound_the_difference():
+def test_sketches_bound_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(200):
         a = np.unique(rng.integers(0, 60, 20).astype(np.uint64))
         b = np.unique(rng.integers(0, 60, 20).astype(np.uint64))
-        x, y = (int(v) & (2**64 - 1) for v in set_ids([a, b]))
+        x, y = (int(v) & (2**64 - 1) for v in sketches(np.r_[a, b], np.array([len(a), len(b)])))
         assert bin((x ^ y) >> 16).count("1") <= len(np.setxor1d(a, b))
-    assert set_ids([np.zeros(0, np.uint64)])[0] >> 16 == 0
+        assert x & 0xFFFF == len(a)
+    assert sketches(np.zeros(0, np.uint64), np.array([0]))[0] == 0
+
+
+def test_different_sets_have_different_ids(spark):
+    df = spark.createDataFrame([(i, f"w{i}x") for i in range(100_000)], "id long, t string")
+    ids = with_word_sets(df, ["id"], {"ws": ["t"]})
+    assert ids.select("ws_id").distinct().count() == 100_000
+    assert len({digest(np.array([i], np.uint64)) for i in range(10_000)}) == 10_000
+    near = [(i, f"w{k}x", "") for i, k in enumerate((8, 3703, 26, 11500, 33, 6403))]
+    assert nearset.near_duplicates(spark.createDataFrame(near, "id long, c string, r string"), "id", ["c", "r"], 0.7).count() == 0
+
+
+def test_sets_with_one_index_key_stay_apart(spark, monkeypatch):
+    real = nearset.F.xxhash64
+    monkeypatch.setattr(nearset.F, "xxhash64", lambda c: nearset.F.pmod(real(c), nearset.F.lit(7)))
+    texts = records(4, 120)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(texts), 2) if likeness(a, b) >= 0.7 - 1e-12}
+    got = [tuple(r) for r in nearset.near_duplicates(df, "id", ["t"], 0.7).collect()]
+    assert set(got) <= want and {p for p in want if set(texts[p[0]].split()) == set(texts[p[1]].split())} <= set(got)
+
+
+def test_classes_of_near_duplicates(spark):
+    rows = [(1, "a b c d"), (2, "D c b A"), (3, "a b c d"), (4, "a b c d e"), (5, "z"), (6, None)]
+    got = {r.id: (r["class"], r.copy_of, r.members, r.links) for r in nearset.near_duplicate_classes(spark.createDataFrame(rows, "id long, t string"), "id", ["t"]).collect()}
+    assert got == {1: (1, 1, 3, 1), 2: (1, 2, 3, 1), 3: (1, 1, 3, 1), 4: (4, 4, 1, 1), 5: (5, 5, 1, 0)}
+
+
+def test_texts_of_a_large_word_set_are_paired_in_full(spark, monkeypatch):
+    monkeypatch.setattr(nearset, "WHOLE", 5)
+    rows = [(i, "one two three four five six seven") for i in range(20)] + [(30, "seven one two three four five six"), (31, "seven two one three four five six"), (32, "one two three four five six eight")]
+    got = {tuple(r) for r in nearset.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", ["t"], 0.7).collect()}
+    assert got == {(0, i) for i in range(1, 20)} | {(0, 30), (0, 31), (30, 31), (0, 32), (30, 32), (31, 32)}
 
 
 def test_cross_split_equals_brute_force(spark):

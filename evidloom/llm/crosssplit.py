@@ -1,13 +1,12 @@
 """Records that stand, exactly or almost, in two splits, found by content-defined chunks.
 
-A record is normalised to its distinct words in an order that a hash gives (so reordering, repetition, case
-and unseen characters play no part). A cut falls after a word whose hash says so; it depends on that word only,
-so an edit changes the chunk it falls into and the rest of the record is cut as before. Several orders give
-several sets of chunks. Chunks of fewer than two words that aren't frequent say little and are left out. Records
-that are short or have few rare words are not covered by what is left: every record is indexed by its rarest words
-too, as many that two alike records share one, and those not covered are looked for there, among all others. The
-digests of the chunks are joined across splits, the lengths of shared chunks are summed into the share of the record
-that they cover, and the pairs that remain are verified by the likeness of the texts themselves.
+A record is normalised to its words in the order of the text, each once. A hash rolls over it, of the last WINDOW
+words; where it says so, a chunk ends. So a cut depends on the words beside it alone, and an edit changes the chunks
+it touches and leaves the rest as they were. The digests of the chunks are joined across splits and the lengths of
+shared chunks summed. As chunks part a record without overlap, the sum is a lower bound of the words that two
+records share: where it reaches what the likeness needs, the pair is decided; where it does not, the pair's words
+are compared. Dense edits and reordering can leave no chunk as it was; such pairs meet by combinations of two of
+their rarest words, which any two records of the likeness share (the argument is in ``digests``).
 """
 
 from __future__ import annotations
@@ -19,80 +18,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, mixed, overlap, with_word_sets, word_counts
+from evidloom.llm.arrays import MOST_SIZE, alike, flat_of, frequent_words, may_be_alike, mixed, overlap, sketches, with_word_sets
 from evidloom.session import checkpointed
 
-#: Orders in which each record is cut, the words that a chunk needs beyond frequent ones, one cut in CUT words.
-#: With 16 orders, records of 16 words, 9 of them rare, share a chunk at a likeness of 0.6 in 99.7 of 100 simulated
-#: pairs, with 8 rare words in 98.9, with 5 in 82.7, with 2 in 18.1, with 1 in none.
-ORDERS, NEEDED, CUT = 16, 2, 2
+#: Words that the rolling hash sees; a chunk ends after one in CUT words on average.
+WINDOW, CUT = 2, 2
+#: Records of up to so many words are indexed by combinations of two rare words, longer ones by single words.
+LONG = 40
 #: Copies of a record are paired in full with up to so many copies of another in each split.
 WHOLE = 1000
-#: Records of so many words, with fewer rare words than FEW, or with more frequent words than rare ones, are looked
-#: for by their rarest words.
-SHORT, FEW = 10, 8
-#: A frequent word is in more than this share of the different texts, and in more than LEAST.
+#: A chunk meets others if it has a word that no more than this share of the different texts have, or no more than LEAST.
 FREQUENT, LEAST = 0.01, 200
 #: Words in more than this share of the texts, and in more than COUNTED_LEAST, are ordered by how many have them, the rarer ones by hash.
 COUNTED, COUNTED_LEAST = 0.0001, 5
 
 
-def chunk_digests(sets: DataFrame, id_col: str, col: str, carry: list[str], frequent: np.ndarray) -> DataFrame:
-    """(digest, id, length in words, n) and ``carry``: the content-defined chunks of each set."""
-    src = sets.select(id_col, col, *carry)
-    kinds = dict(src.dtypes)
-    schema = ", ".join(["digest bigint", f"`{id_col}` bigint", "length int", "n int", *(f"`{c}` {kinds[c]}" for c in carry)])
+def chunk_starts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the chunks of records begin: at their first words, and after each word at which the rolling hash says so.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v, off = flat_of(b.column(1))
-            n = np.diff(off)
-            if not len(v):
-                continue
-            rec = np.repeat(np.arange(len(n)), n)
-            at = np.searchsorted(frequent, v)
-            rare = np.ones(len(v), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != v
-            digests, recs, lengths = [], [], []
-            for k in range(ORDERS):
-                h = mixed(v, 100 + k)
-                order = np.lexsort((h, rec))
-                r, hh, ra = rec[order], h[order], rare[order]
-                cut = (hh >> np.uint64(20)) % np.uint64(CUT) == 0
-                starts = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | cut[:-1]])
-                with np.errstate(over="ignore"):
-                    total = np.add.reduceat(mixed(hh, 9), starts) + np.uint64(k)
-                lens = np.diff(np.r_[starts, len(r)])
-                use = (np.add.reduceat(ra.astype(np.int64), starts) >= NEEDED) | (lens == n[r[starts]])
-                digests.append(mixed(total, 11)[use])
-                recs.append(r[starts][use])
-                lengths.append(lens[use])
-            d, r, ln = np.concatenate(digests), np.concatenate(recs), np.concatenate(lengths)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(take), pa.array(ln.astype(np.int32)), pa.array(n[r].astype(np.int32)), *(b.column(c).take(take) for c in carry)], ["digest", id_col, "length", "n", *carry])
-
-    return src.mapInArrow(run, schema)
-
-
-def counted_words(sets: DataFrame, col: str, rows: int, words_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, n): the words in more than COUNTED of the ``rows`` sets, sorted, and how many have each; bounded like ``frequent_words``."""
-    line = max(COUNTED * rows, COUNTED_LEAST)
-    bound = int(words_total / line) + 1
-    got = word_counts(sets, col).where(F.col("n") > line).limit(bound + 1).collect()
-    assert len(got) <= bound, "more counted words than the bound allows"
-    w, n = np.array([r.word for r in got], dtype=np.int64).view(np.uint64), np.array([r.n for r in got], dtype=np.int64)
-    order = np.argsort(w)
-    return w[order], n[order]
-
-
-def rarest_words(sets: DataFrame, id_col: str, col: str, carry: list[str], counted: tuple[np.ndarray, np.ndarray], line: float, likeness: float) -> DataFrame:
-    """(digest, id, n, uncovered) and ``carry``: of each set its rarest words, as many that two sets of the likeness share one.
-
-    All sets take their words in one order, which is what the guarantee needs (prefix filter). ``line`` is the
-    number of sets from which on a word is frequent.
+    ``h`` are the hashes of the words of all records in order, ``first`` says which of them begin a record.
+    """
+    roll, number = h.copy(), np.cumsum(first)
+    for k in range(1, WINDOW):
+        inside = number[k:] == number[:-k]
+        with np.errstate(over="ignore"):
+            roll[k:] += np.where(inside, h[:-k], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)
+    ends = (mixed(roll, 101) >> np.uint64(20)) % np.uint64(CUT) == 0
+    return np.flatnonzero(np.r_[True, first[1:] | ends[:-1]])
+
+
+def chunks(v: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, digest, length) of the content-defined chunks of records, given all their words and each word's record."""
+    first = np.r_[True, rec[1:] != rec[:-1]]
+    h = mixed(v, 100)
+    starts = chunk_starts(h, first)
+    lens = np.diff(np.r_[starts, len(v)])
+    place = (np.arange(len(v)) - np.repeat(starts, lens)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.add.reduceat(mixed(h + place * np.uint64(0xD6E8FEB86659FD93), 9), starts)
+    return starts, mixed(total, 11), lens
+
+
+def combinations_of_rarest(v: np.ndarray, rec: np.ndarray, n: np.ndarray, count: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, record): the rarest words of each record, two by two, and one by one for long records."""
+    order = np.lexsort((v, count, rec))
+    w, r = v[order], rec[order]
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    prefix = n - np.ceil(likeness * n - 1e-9).astype(np.int64)
+    out, who = [], []
+    two = np.minimum(n, prefix + 2)
+    for k in np.unique(two[(n >= 2) & (n <= LONG)]):
+        own = np.flatnonzero((two == k) & (n >= 2) & (n <= LONG))
+        x = w[first[own][:, None] + np.arange(k)]
+        i, j = np.triu_indices(int(k), 1)
+        a, b = np.minimum(x[:, i], x[:, j]), np.maximum(x[:, i], x[:, j])
+        with np.errstate(over="ignore"):
+            out.append(mixed(mixed(a, 21) + b * np.uint64(0x9E3779B97F4A7C15), 22).ravel())
+        who.append(np.repeat(own, len(i)))
+    use = (np.arange(len(r)) - first[r] < prefix[r] + 1) & (n[r] >= likeness * LONG)
+    return np.concatenate([*out, mixed(w[use], 23)]), np.concatenate([*who, r[use]]).astype(np.int64)
+
+
+def digests(texts: DataFrame, counted: tuple[np.ndarray, np.ndarray], line: float, likeness: float) -> DataFrame:
+    """(digest, h, sk, length, tr, ho) of each text: its chunks, and with length 0 the combinations of its rarest words.
+
+    Two sets that share o words or more share two of those that come first in any common order of the words, if
+    n - o + 2 of each are taken (one, if n - o + 1 are). Of a set of n words, alike ones share at least likeness * n.
+    ``line`` is the number of texts from which on a word is frequent.
     """
-    src = sets.select(id_col, col, *carry)
-    kinds = dict(src.dtypes)
-    schema = ", ".join(["digest bigint", f"`{id_col}` bigint", "n int", "uncovered boolean", *(f"`{c}` {kinds[c]}" for c in carry)])
     known, often = counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,86 +99,93 @@ def rarest_words(sets: DataFrame, id_col: str, col: str, carry: list[str], count
             if len(known):
                 at = np.minimum(np.searchsorted(known, v), len(known) - 1)
                 count = np.where(known[at] == v, often[at], 0)
-            rares = np.bincount(rec, weights=count <= line, minlength=len(n))
-            uncovered = (n <= SHORT) | (rares < FEW) | (2 * rares < n)
-            order = np.lexsort((v, count, rec))
-            place = np.arange(len(rec)) - np.searchsorted(rec, rec)
-            use = place < n[rec] - np.ceil(likeness * n[rec] - 1e-9) + 1
-            d, r = mixed(v[order][use], 12), rec[use]
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), b.column(0).take(take), pa.array(n[r].astype(np.int32)), pa.array(uncovered[r]), *(b.column(c).take(take) for c in carry)], ["digest", id_col, "n", "uncovered", *carry])
+            sk = sketches(v, n)
+            starts, d, lens = chunks(v, rec)
+            use = (lens >= 2) & (np.minimum.reduceat(count, starts) <= line)
+            d2, r2 = combinations_of_rarest(v, rec, n, count, likeness)
+            d, r, ln = np.r_[d[use], d2], np.r_[rec[starts][use], r2], np.r_[lens[use], np.zeros(len(d2), np.int64)]
+            for i in range(0, len(d), 100_000):
+                s = slice(i, i + 100_000)
+                take = pa.array(r[s])
+                yield pa.RecordBatch.from_arrays([pa.array(d[s].view(np.int64)), b.column(0).take(take), pa.array(sk[r[s]]), pa.array(ln[s].astype(np.int32)), b.column(2).take(take), b.column(3).take(take)], ["digest", "h", "sk", "length", "tr", "ho"])
 
-    return src.mapInArrow(run, schema)
+    return texts.select("h", "c", "tr", "ho").mapInArrow(run, "digest bigint, h bigint, sk bigint, length int, tr int, ho int")
 
 
 def split_records(records: DataFrame, splits: DataFrame, key: str, first: str, second: str, split_col: str) -> DataFrame:
-    """key, split and the word sets of both texts, one row for each different (key, split, texts)."""
+    """rec, split and both texts' words (c in the order of the text, e sorted), one row for each different (rec, split, texts)."""
     s = splits.where(F.col(key).isNotNull() & F.col(split_col).isNotNull()).select(F.col(key).alias("rec"), F.col(split_col).alias("split")).distinct()
-    r = with_word_sets(records.where(F.col(key).isNotNull()).select(F.col(key).alias("rec"), F.col(first).alias("t1"), F.col(second).alias("t2")), ["rec"], {"c": ["t1"], "e": ["t2"]})
-    return r.where((F.size("c") > 0) & (F.size("e") > 0)).join(s, "rec").dropDuplicates(["rec", "split", "c_id", "e_id"]).persist()
+    r = with_word_sets(records.where(F.col(key).isNotNull()).select(F.col(key).alias("rec"), F.col(first).alias("t1"), F.col(second).alias("t2")), ["rec"], {"c": ["t1"], "e": ["t2"]}, ordered=("c",))
+    return r.drop("c_text", "e_text").where((F.size("c") > 0) & (F.size("e") > 0)).join(s, "rec").dropDuplicates(["rec", "split", "c_id", "e_id"]).persist()
+
+
+def alike_texts(recs: DataFrame, likeness: float, train: str, held_out: tuple[str, ...]) -> DataFrame:
+    """(ca, cb, share, proven): different first texts, one in train, one held out, that have the likeness.
+
+    share is the part of the held-out text that shared chunks cover; proven says that their lengths decided.
+    """
+    held = F.col("split").isin(*held_out)
+    tr, ho = F.max((F.col("split") == train).cast("int")).alias("tr"), F.max(held.cast("int")).alias("ho")
+    texts = recs.groupBy(F.xxhash64("c_id").alias("h")).agg(F.collect_set(F.struct("c_id", "c")).alias("same"), tr, ho).persist()
+    each = texts.select("h", F.inline("same"), "tr", "ho")
+    rows, total = each.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+    counted = frequent_words(each, "c", rows, total, COUNTED, COUNTED_LEAST) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    index = digests(each.where("tr + ho > 0"), counted, max(FREQUENT * rows, LEAST), likeness)
+    a = index.where("tr = 1").select("digest", F.col("h").alias("ha"), F.col("sk").alias("ska"))
+    b = index.where("ho = 1").select("digest", F.col("h").alias("hb"), F.col("sk").alias("skb"), "length")
+    met = a.join(b.hint("shuffle_hash"), "digest").where((F.col("ha") != F.col("hb")) & may_be_alike(F.col("ska"), F.col("skb"), likeness))
+    size = lambda c: F.first(c).bitwiseAND(MOST_SIZE)
+    summed = met.groupBy("ha", "hb").agg(F.sum("length").alias("covered"), size("ska").alias("na"), size("skb").alias("nb"))
+    summed = summed.unionByName(texts.where("size(same) > 1 and tr = 1 and ho = 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"), *(F.lit(0).alias(c) for c in ("covered", "na", "nb"))))
+    # cut from its lineage, which two more joins with the texts would repeat
+    summed = checkpointed(summed.select("ha", "hb", "covered", (alike(F.col("covered"), F.col("na"), F.col("nb"), likeness) & (F.greatest("na", "nb") < MOST_SIZE)).alias("proven")))
+    x, y = texts.alias("x"), texts.alias("y")
+    both = summed.join(x, F.col("ha") == F.col("x.h")).join(y, F.col("hb") == F.col("y.h"))
+    both = both.select("covered", (F.col("proven") & (F.size("x.same") == 1) & (F.size("y.same") == 1)).alias("proven"), F.explode("x.same").alias("p"), F.col("y.same").alias("_q"))
+    both = both.select("covered", "proven", "p", F.explode("_q").alias("q")).where("p.c_id <> q.c_id")
+    shared = F.when(~F.col("proven"), overlap("p.c", "q.c"))
+    near = both.where(F.col("proven") | alike(shared, F.size("p.c"), F.size("q.c"), likeness))
+    return near.select(F.col("p.c_id").alias("ca"), F.col("q.c_id").alias("cb"), (F.col("covered") / F.size("q.c")).alias("share"), "proven")
 
 
 def overlapping(recs: DataFrame, likeness: float, train: str = "train", held_out: tuple[str, ...] = ("val", "test")) -> DataFrame:
-    """(rec_train, rec_held, split, likeness_1, likeness_2, share): pairs across splits alike in both texts.
+    """(rec_train, rec_held, split, share, proven, kind): pairs across splits alike in both texts, and the held-out record's class.
 
-    ``share`` is the part of the held-out record's first text that chunks of the train record cover. Records with
-    the same two texts are a class: classes are compared, and then expanded to their records. Of two alike classes
-    of which one has more than WHOLE records in a split, every record is paired with the other class's first one.
+    Records with the same two texts are a class: classes are compared, and then expanded to their records. Of two
+    alike classes of which one has more than WHOLE records in a split, every record is paired with the other
+    class's first one.
     """
     held = F.col("split").isin(*held_out)
-    texts = recs.groupBy("c_id").agg(F.first("c").alias("c"), F.max((F.col("split") == train).cast("int")).alias("tr"), F.max(held.cast("int")).alias("ho")).persist()
-    rows, total = texts.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
-    frequent, _ = frequent_words(texts, "c", rows, total, FREQUENT, LEAST) if rows else (np.zeros(0, np.uint64), 1.0)
-    counted = counted_words(texts, "c", rows, total) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    asked = texts.where("tr + ho > 0")
-
-    def sides(x: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
-        rest = [c for c in more if c != "length"]
-        return x.where("tr = 1").select("digest", F.col("c_id").alias("ca"), F.col("n").alias("na"), *rest), x.where("ho = 1").select("digest", F.col("c_id").alias("cb"), "n", *more)
-
-    def meet(a: DataFrame, b: DataFrame, length: Column) -> DataFrame:
-        met = a.join(b.hint("shuffle_hash"), "digest").where((F.col("ca") != F.col("cb")) & may_be_alike("ca", "cb", "na", "n", likeness))
-        return met.select("ca", "cb", length.alias("length"), "n")
-
-    met = meet(*sides(chunk_digests(asked, "c_id", "c", ["tr", "ho"], frequent), ["length"]), F.col("length"))
-    a, b = sides(rarest_words(asked, "c_id", "c", ["tr", "ho"], counted, max(FREQUENT * rows, LEAST), likeness).persist(), ["uncovered"])
-    words_of = lambda x: x.drop("uncovered")
-    for x, y in ((a.where("uncovered"), b), (a.where("not uncovered"), b.where("uncovered"))):
-        met = met.unionByName(meet(words_of(x), words_of(y), F.lit(0)))
-    # cut from its lineage: what follows would hold the plan of all three meetings several times, in the driver's memory
-    shared = checkpointed(met.groupBy("ca", "cb").agg((F.sum("length") / (F.lit(ORDERS) * F.first("n"))).alias("share")))
-    one, two = texts.select(F.col("c_id").alias("ca"), F.col("c").alias("wa")), texts.select(F.col("c_id").alias("cb"), F.col("c").alias("wb"))
-    n_shared = overlap("wa", "wb")
-    near = shared.join(one, "ca").join(two, "cb").withColumn("k", n_shared).where(alike(F.col("k"), F.size("wa"), F.size("wb"), likeness))
-    near = near.select("ca", "cb", "share", (F.col("k") / (F.size("wa") + F.size("wb") - F.col("k"))).alias("likeness_1"))
-    same = texts.where("tr = 1 and ho = 1").select(F.col("c_id").alias("ca"), F.col("c_id").alias("cb"), F.lit(1.0).alias("share"), F.lit(1.0).alias("likeness_1"))
-    pairs = near.unionByName(same)
-    kinds = recs.groupBy("c_id", "e_id").agg(F.first("e").alias("e"), F.max((F.col("split") == train).cast("int")).alias("tr"), F.max(held.cast("int")).alias("ho"))
-    left = kinds.where("tr = 1").select(F.col("c_id").alias("ca"), F.col("e_id").alias("ea_id"), F.col("e").alias("ea"))
-    right = kinds.where("ho = 1").select(F.col("c_id").alias("cb"), F.col("e_id").alias("eb_id"), F.col("e").alias("eb"))
-    na, nb = F.size("ea"), F.size("eb")
-    alike_kinds = pairs.join(left, "ca").join(right, "cb").withColumn("k", overlap("ea", "eb")).where(alike(F.col("k"), na, nb, likeness))
-    alike_kinds = alike_kinds.select("ca", "ea_id", "cb", "eb_id", "likeness_1", (F.col("k") / (na + nb - F.col("k"))).alias("likeness_2"), "share")
-    return _expanded(alike_kinds.persist(), recs, train, held)  # it is read for three joins
-
-
-def _expanded(kinds: DataFrame, recs: DataFrame, train: str, held: Column) -> DataFrame:
-    """Pairs of classes as pairs of their records, linear in the records of a large class."""
-
-    def side(where: Column, c: str, e: str, rec: str, split: str) -> DataFrame:
-        m = recs.where(where).groupBy("c_id", "e_id", "rec", "split").count()
-        n = m.groupBy("c_id", "e_id").agg(F.count("*").alias(f"n_{rec}"), F.min(F.struct("rec", "split")).alias("_f"))
-        first = (F.col("_f.rec") == F.col("rec")) & (F.col("_f.split") == F.col("split"))
-        return m.join(n, ["c_id", "e_id"]).select(F.col("c_id").alias(c), F.col("e_id").alias(e), F.col("rec").alias(rec), F.col("split").alias(split), f"n_{rec}", first.alias(f"first_{rec}"))
-
-    t = side(F.col("split") == train, "ca", "ea_id", "rec_train", "_s")
-    h = side(held, "cb", "eb_id", "rec_held", "split")
-    few = lambda x, rec: x.where(F.col(f"n_{rec}") <= WHOLE)
-    firsts = lambda x, rec: x.where(f"first_{rec}")
-    joined = lambda a, b: kinds.join(a, ["ca", "ea_id"]).join(b, ["cb", "eb_id"])
-    big = (F.col("n_rec_train") > WHOLE) | (F.col("n_rec_held") > WHOLE)
-    got = joined(few(t, "rec_train"), few(h, "rec_held")).unionByName(joined(firsts(t, "rec_train"), h).where(big)).unionByName(joined(t, firsts(h, "rec_held")).where(big))
-    return got.where("rec_train <> rec_held").select("rec_train", "rec_held", "split", "likeness_1", "likeness_2", "share").distinct()
+    is_train, who = F.col("split") == train, F.struct("rec", "split")
+    kinds = recs.groupBy("c_id", "e_id").agg(F.first("e").alias("e"), *(f(F.when(w, who)).alias(n + s) for w, s in ((is_train, "a"), (held, "b")) for f, n in ((F.count, "n"), (F.min, "f"))))
+    kinds = kinds.persist()
+    left = kinds.where("na > 0").select(F.col("c_id").alias("ca"), F.col("e_id").alias("ea_id"), F.col("e").alias("ea"), "na")
+    right = kinds.where("nb > 0").select(F.col("c_id").alias("cb"), F.col("e_id").alias("eb_id"), F.col("e").alias("eb"), "nb")
+    same = kinds.groupBy("c_id").agg(F.max("na").alias("na"), F.max("nb").alias("nb")).where("na > 0 and nb > 0")
+    pairs = alike_texts(recs, likeness, train, held_out).unionByName(same.select(F.col("c_id").alias("ca"), F.col("c_id").alias("cb"), F.lit(1.0).alias("share"), F.lit(True).alias("proven")))
+    near = pairs.join(left, "ca").join(right, "cb").where(alike(overlap("ea", "eb"), F.size("ea"), F.size("eb"), likeness))
+    return _expanded(checkpointed(near.drop("ea", "eb")), recs, is_train, held)
+
+
+def _expanded(near: DataFrame, recs: DataFrame, is_train: Column, held: Column) -> DataFrame:
+    """Pairs of classes as pairs of their records, linear in the records of a large class.
+
+    Each record plays the part "all", the first of its class and split also the part "first"; of two small
+    classes all meet all, else the first of each meets all of the other.
+    """
+
+    def side(where: Column, c: str, e: str, rec: str, more: list[str]) -> DataFrame:
+        m = recs.where(where).select("c_id", "e_id", "rec", "split").distinct()
+        first = m.groupBy("c_id", "e_id").agg(F.min(F.struct("rec", "split")).alias("f")).select("c_id", "e_id", F.lit("first").alias("part"), "f.rec", "f.split")
+        m = m.select("c_id", "e_id", F.lit("all").alias("part"), "rec", "split").unionByName(first)
+        return m.select(F.col("c_id").alias(c), F.col("e_id").alias(e), F.col("part").alias(f"part_{c}"), F.col("rec").alias(rec), *more)
+
+    small = (F.col("na") <= WHOLE) & (F.col("nb") <= WHOLE)
+    part = lambda x, y: F.struct(F.lit(x).alias("part_ca"), F.lit(y).alias("part_cb"))
+    parts = F.when(small, F.array(part("all", "all"))).otherwise(F.array(part("first", "all"), part("all", "first")))
+    p = near.select("ca", "ea_id", "cb", "eb_id", "share", "proven", F.inline(parts))
+    got = p.join(side(is_train, "ca", "ea_id", "rec_train", []), ["ca", "ea_id", "part_ca"]).join(side(held, "cb", "eb_id", "rec_held", ["split"]), ["cb", "eb_id", "part_cb"])
+    return got.where("rec_train <> rec_held").select("rec_train", "rec_held", "split", "share", "proven")
 
 
 def cross_split_pairs(records: DataFrame, splits: DataFrame, key: str, first: str, second: str, split_col: str = "split", likeness: float = 0.6) -> DataFrame:
@@ -199,9 +199,20 @@ def cross_split_pairs(records: DataFrame, splits: DataFrame, key: str, first: st
 
 
 def overlap_report(records: DataFrame, splits: DataFrame, key: str, first: str, second: str, source: str, split_col: str = "split", likeness: float = 0.6) -> DataFrame:
-    """(split, source, records, overlapping): of each held-out split and source, how many ids it has and how many overlap train."""
+    """(split, source, records, overlapping, share, by_chunks) of each held-out split and source.
+
+    How many ids it has and how many overlap train; the mean, over those, of the largest part of the first text
+    that one train record's chunks cover (1 for the same text); and for how many of them chunk lengths decided.
+    """
     recs = split_records(records, splits, key, first, second, split_col)
-    hit = overlapping(recs, likeness).select(F.col("rec_held").alias("rec"), "split").distinct().withColumn("hit", F.lit(1))
+    hit = overlapping(recs, likeness).groupBy(F.col("rec_held").alias("rec"), "split").agg(F.max("share").alias("_share"), F.max("proven").alias("_proven"))
     s = splits.where(F.col(key).isNotNull() & F.col(split_col).isin("val", "test")).select(F.col(key).alias("rec"), F.col(split_col).alias("split"), F.col(source).alias("source")).distinct()
     out = s.join(hit, ["rec", "split"], "left").groupBy("split", "source")
-    return out.agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
+    return out.agg(F.count("*").alias("records"), F.count("_share").alias("overlapping"), F.round(F.avg("_share"), 4).alias("share"), F.count_if("_proven").alias("by_chunks"))
+
+
+def classes(records: DataFrame, splits: DataFrame, key: str, first: str, second: str, split_col: str = "split") -> DataFrame:
+    """(id, split, class, members): each record with the smallest id that has the same two texts, and how many rows have them."""
+    r = split_records(records, splits, key, first, second, split_col).select("rec", "split", "c_id", "e_id")
+    n = r.groupBy("c_id", "e_id").agg(F.min("rec").alias("class"), F.count("*").alias("members"))
+    return r.join(n, ["c_id", "e_id"]).select(F.col("rec").alias("id"), "split", "class", "members")

@@ -66,6 +66,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence", "source", likeness=0.6)
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return crosssplit.classes(table(spark, d, "arafa"), table(spark, d, "localization"), "final_id", "claim", "evidence")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"), "doc_id", "text")
 
@@ -94,7 +98,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {
     "p4_found": """WITH RECURSIVE e AS (SELECT a.source AS s, b.source AS t FROM (SELECT DISTINCT final_id, source FROM arafa) a JOIN (SELECT DISTINCT final_id, source FROM arafa) b ON a.final_id = b.final_id AND a.source <> b.source
         UNION SELECT source, resolved_pageid FROM source_verification WHERE resolved_pageid > 0),

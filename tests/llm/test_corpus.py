@@ -75,8 +75,9 @@ def test_leaked_words_can_be_removed(spark):
 
 
 ENDINGS = [
-    ("Whole sentence.", "whole"), ("Whole!”", "whole"), ("Whole... ", "whole"), ("نص كامل؟\n", "whole"), ("Noted. [22]", "whole"), ("x.\n\nالحكم: مدعوم", "whole"), ("x.\n\nالحکم: معلومات غیر کافیة", "whole"), ("x.\nآخر تحقق: 24/6/2030", "whole"), ("x.\n[[تصنيف:كلمة]]", "whole"),
-    ("x.\nتصنيف: كلمة", "category"), ("x.\n[[تصنيف:كل", "sign"), ("x.\nالحكم: مدع", "open"), ("x.\nآخر تحقق: 24/6/20", "open"), ("mid wor", "open"), ("mid word,", "open"), ("more [...]", "mark"), ("more…", "mark"), ("more ...", "mark"), ("bad �", "sign"), ("esc \\u06", "sign"), ("ent&am", "sign"), ("tag <br", "sign"), ("tpl {{cite", "sign"), ("see [http", "sign"),
+    ("Whole sentence.", "whole"), ("Whole!”", "whole"), ("نص كامل؟\n", "whole"), ("Noted. [22]", "whole"), ("x.\n[[تصنيف:كلمة]]", "whole"), ("x.\n== Heading ==", "whole"),
+    ("x.\nتصنيف: كلمة", "open"), ("x.\n[[تصنيف:كل", "sign"), ("mid wor", "open"), ("mid word,", "open"), ("more [...]", "mark"), ("more…", "mark"), ("more ...", "mark"), ("more... ", "mark"), ("more.…", "mark"), ("bad �", "sign"), ("esc \\u06", "sign"), ("ent&am", "sign"), ("tag <br", "sign"), ("tag <ref name=" + "x" * 500, "sign"),
+    ("3 < 4 is less", "open"), ("tag <br> of it", "open"), ("tpl {{cite", "sign"), ("see [http", "sign"), ("entity &" + "a" * 90, "sign"),
     ("ภาษาไทย", "thai"), ("ภาษาไทย [...]", "thai"), ("", "blank"), (None, "blank"), (" ​\n", "blank"), ("\u00a0", "blank"), ("\u2003\ufeff\u00a0", "blank"), ("Whole.\u00a0\u200b ", "whole"), ("( open", "open"),
 ]
 
@@ -86,19 +87,43 @@ def test_endings(text, kind):
     assert truncated.ending(text) == kind
 
 
+PROSE = "the old keeper of the harbour wrote a complete report about every ship that came in"
+
+
+def corpus():
+    """Articles of closed lines, with bare headings, and entries of two names."""
+    d = [(i, f"Early years\n{PROSE} {i} of them.\nThe report was complete.\nVerdict: {'not enough information' if i % 2 else 'supported'}", "s1") for i in range(60)]
+    return d + [(60 + i, f"{PROSE} {i} of them.\nTopic: sea{i} ships{i}", "s1") for i in range(60)]
+
+
 def test_truncated(spark):
-    base = [(i, t, "s1" if i % 2 else None) for i, (t, _) in enumerate(ENDINGS)]
-    more = [(100, "the categories here are complete words.", "s2"), (101, "x.\nتصنيف: complete", "s2"), (102, "x.\nتصنيف: comple", "s2"), (103, "y" * 200_000, "s2"), (104, "it is comp", "s2"), (104, "it is comp", "s2"), (None, "no id", "s2")]
-    df = spark.createDataFrame([(*r, "k", 1) for r in base + more], "doc_id long, text string, source string, kind string, cut int")
+    base = [(1000 + i, t, "s1" if i % 2 else None) for i, (t, _) in enumerate(ENDINGS)]
+    more = [
+        (2000, f"{PROSE}.\nVerdict: supp", "s2"), (2001, f"{PROSE}.\nVerdict: not enough", "s2"), (2002, f"{PROSE}.\nTopic: comple", "s2"), (2003, f"{PROSE}.\nTopic: sea1", "s2"), (2004, f"{PROSE}.\nVerdict: supported", "s2"), (2005, f"{PROSE}.\nLater years", "s2"), (2006, f"{PROSE}.\nLater harb", "s2"),
+        (2007, PROSE, "s2"), (2008, PROSE[:-1], "s2"), (2009, "y" * 200_000, "s2"), (2009, "y" * 200_000, "s2"), (None, "no id", "s2"),
+    ]
+    df = spark.createDataFrame([(*r, "k", 1, "c") for r in corpus() + base + more], "doc_id long, text string, source string, kind string, cut int, name string")
     rows = truncated.truncated(df, "doc_id", "text", "source").collect()
     cut = {r.doc for r in rows if r.cut}
-    assert cut == {i for i, (_, k) in enumerate(ENDINGS) if k in ("open", "sign", "mark")} | {102, 103, 104}
-    assert [r.within_word for r in rows if r.doc == 104] == [True, True]
+    assert {x for x in cut if x >= 2000} == {2000, 2001, 2002, 2003, 2006, 2007, 2008, 2009}
+    assert {1000 + i for i, (_, k) in enumerate(ENDINGS) if k in ("sign", "mark")} <= cut
+    assert not cut & ({1000 + i for i, (_, k) in enumerate(ENDINGS) if k in ("whole", "thai", "blank")} | set(range(120)))
+    within = {r.doc for r in rows if r.within_word}
+    assert {2002, 2006} <= within and not within & {2001, 2003, 2004, 2005}
     rep = {r.source: (r.texts, r.cut) for r in truncated.truncation_report(truncated.truncated(df, "doc_id", "text", "source")).collect()}
-    assert rep["s2"] == (6, 4)
+    assert rep["s2"] == (11, 9)
     assert truncated.truncated(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_where_lines_tell_nothing_the_trie_and_lengths_decide(spark):
+    few = [(1, "complete words stand here", "s"), (2, "she read it:", "s"), (3, "it is comp", "s"), (4, "complete again.", "s")]
+    got = {r.doc for r in truncated.truncated(spark.createDataFrame(few, "doc_id long, text string, source string"), "doc_id", "text", "source").where("cut").collect()}
+    assert got == {3}
+    limited = [(10 + i, f"{i} words up to the lim"[:20], "s") for i in range(4)]
+    got = {r.doc for r in truncated.truncated(spark.createDataFrame(few + limited, "doc_id long, text string, source string"), "doc_id", "text", "source").where("cut").collect()}
+    assert got == {3, 10, 11, 12, 13}
+
+
 def test_trie(spark):
-    t = {r.prefix: (r.n_below, r.is_word) for r in truncated.trie(spark.createDataFrame([("car",), ("cart",), ("dog",)], "token string")).collect()}
-    assert t["car"] == (1, True) and t["ca"] == (2, False) and t["cart"] == (0, True) and t["d"] == (1, False)
+    t = {r.prefix: (r.n_below, r.below, r.own) for r in truncated.trie(spark.createDataFrame([("car", 2), ("cart", 3), ("dog", 5)], "token string, n long")).collect()}
+    assert t["car"] == (1, 3, 2) and t["ca"] == (2, 5, 0) and t["cart"] == (0, 0, 3) and t["d"] == (1, 5, 0)

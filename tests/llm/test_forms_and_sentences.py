@@ -1,5 +1,8 @@
+import random
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,37 @@ from evidloom.llm import lookalikes, pieces, sentences
 from evidloom.llm.sentences import Model, boundaries, posteriors, spans
 from evidloom.llm.textforms import base_form, fold, repaired, suspicious, words
 
-M = Model()
+
+
+def learnt(texts):
+    """The model of the texts, counted as ``sentences.train`` does in a partition."""
+    c, lengths, seen = Counter(), Counter(), {}
+    for t in texts:
+        sentences.observe(t, c, lengths)
+    for (kind, w), n in c.items():
+        for k, cell in enumerate(sentences.cells(w)):
+            own = seen.setdefault(kind, Counter())
+            own[str(cell + k * sentences.CELLS)] += n
+    for (kind, w), n in lengths.items():
+        seen.setdefault(kind, {})[w] = n
+    return sentences.estimated(seen)
+
+
+CORPUS = [
+    "Yesterday Dr. Brown and Mr. Green went to St. Paul by the river. They saw many houses there. He slept.",
+    "“Was it far to the town?” asked the old woman. Nobody knew anything of the road. Then he left the house.",
+    "The U.N. met in the afternoon. The house stood there. There was an answer and the houses were old.",
+    "قال د. خالد في ص. 12 إن المدينة قديمة. كانت المدينة كبيرة جدا. ثم ذهب الرجل إلى البيت. هذا كتاب إلخ. وفيه صور كثيرة.",
+    "«أين الطريق إلى المدينة؟» سأل الرجل العجوز. هذا طريق طويل جدا؟ نعم كان طويلا. ثم رجع إلى البيت.",
+    "वह डॉ. राम के साथ ई. 19 में आया। क्या यह घर था? वह गाँव गया। अंत में वह घर गया।",
+    "یہ شہر ہے۔ وہ گاؤں تھا۔ یہ کتاب پرانی ہے؟ وہ آیا۔",
+    "人口多。学生来了。他说：“森林很大！”学生去了。当地的森林很大。他说：“来了！”人口多。森林来了。他说：“很大？”当地来了。学生多。他说：“多。”森林去了。人口很大。当地多。",
+    "先生は「どこへ行く？」と聞いた。学生は来た。南部は広い。",
+    "ภาษาไทย ประโยคที่สอง จบแล้ว",
+]
+SHORT = {"Dr.", "Mr.", "St.", "U.N.", "د.", "ص.", "إلخ.", "डॉ.", "ई."}
+WORDS_ONLY = [" ".join(w.strip('.؟?«»“”"।۔') for w in t.split() if w not in SHORT and w not in ("asked", "سأل")) + "?" for t in CORPUS[:7]]
+M = learnt((CORPUS + WORDS_ONLY * 2) * 40)
 
 
 def test_unseen_differences_fold_away():
@@ -97,15 +130,53 @@ def test_forward_backward_equals_enumeration():
     assert posteriors(u, t) == pytest.approx([h / total for h in hit], abs=1e-9)
 
 
-def test_model_learns_abbreviations(spark):
-    texts = [("The qxv. Zed came to town and saw a house that stood on the hill near the house. It was large? Then he left.",)] * 20 + [(None,), ("",)]
+LANGUAGES = {
+    "en": ["the river runs through old towns", "nobody knew where his brother lived", "every summer they walked to market", "she wrote long letters about birds", "children played beside broken walls", "our captain sold seven white horses"],
+    "ar": ["كتب الرجل رسالة طويلة إلى أخيه", "ذهبت القوافل نحو الجبال البعيدة", "يعيش الناس قرب النهر الكبير", "وصف الرحالة أسواق المدينة القديمة", "زرع الفلاح القطن في أرضه", "تعلم الأطفال القراءة عند المعلم"],
+    "zh": ["学生去了北方的大学读书", "老师写过三本关于河流历史", "昨天我们参观这座古城", "商人从南边带来很多盐", "村里没有人见过海洋", "工程师设计新桥梁图纸"],
+    "ja": ["学生は北の大学へ行った", "先生が川についての本を書いた", "昨日みんなで古い城を見た", "商人たちは南から塩を運んだ", "村には海を知る人がいない", "技師の橋は来年できあがる"],
+    "th": ["นักเรียนไปมหาวิทยาลัยทางเหนือ", "ครูเขียนหนังสือเกี่ยวกับแม่น้ำ", "เมื่อวานพวกเราเยี่ยมชมปราสาท", "พ่อค้านำเกลือมาจากทางใต้", "ไม่มีใครในหมู่บ้านเคยเห็นทะเล", "วิศวกรออกแบบสะพานใหม่"],
+}
+MARKS = {"en": (". ", " "), "ar": (". ", " "), "zh": ("。", ""), "ja": ("。", ""), "th": (" ", "")}
+
+
+@pytest.mark.parametrize("lang", LANGUAGES)
+def test_texts_without_marks_are_cut(lang):
+    rng = random.Random(lang)
+    own, (mark, gap) = LANGUAGES[lang], MARKS[lang]
+    m = learnt([mark.join(rng.sample(own, 6)) + mark.strip() for _ in range(300)])
+    want = [rng.choice(own) for _ in range(30)]
+    text = gap.join(want)
+    got = [text[a:b] for a, b in spans(text, m)]
+    right = len(set(spans(text, m)) & {(len(gap.join(want[:i]) + (gap if i else "")), len(gap.join(want[: i + 1]))) for i in range(30)})
+    assert right >= 27 and len(got) <= 33, got
+    marked = (gap or ("" if lang != "th" else " ")).join(w + ("" if lang == "th" else "?") for w in want)
+    assert len(boundaries(marked, m)) == 30  # with marks, nothing but those
+
+
+def test_model_learns_abbreviations_and_reports(spark):
+    texts = [("The qxv. Zed came to town and saw a house that stood on the hill near the house. It was large? Then he left. “Is it far?” zorbed the man. A man slept and the man left?",)] * 20 + [(None,), ("",)]
     m = sentences.train(spark.createDataFrame(texts, "t string"), "t")
-    t = "He met qxv. Zed at the house. It rained."
-    assert [t[a:b] for a, b in spans(t, m)] == ["He met qxv. Zed at the house.", "It rained."]
+    t = "He met qxv. Zed at the house. It rained. “Was it large?” zorbed the man. “It was!” Then he left."
+    want = ["He met qxv. Zed at the house.", "It rained.", "“Was it large?” zorbed the man.", "“It was!”", "Then he left."]
+    assert [t[a:b] for a, b in spans(t, m)] == want
+    assert m.counts.keys() == set(sentences.KINDS) and all(x.shape == (sentences.DEPTH, sentences.CELLS) for x in m.counts.values())
+    assert [t[a:b] for a, b in spans(t, learnt([x for (x,) in texts if x]))] == want
     empty = sentences.train(spark.createDataFrame([], "t string"), "t")
     assert len(spans("One here. Two there.", empty)) == 2
 
 
+def test_counts_hold_every_word():
+    c = Counter()
+    for i in range(50_000):
+        c["bare", f"w{i}"] += 1
+    m = Model(counts={"bare": np.zeros((sentences.DEPTH, sentences.CELLS), np.float32)})
+    for _, w in c:
+        for k, x in enumerate(sentences.cells(w)):
+            m.counts["bare"][k, x] += 1
+    assert all(m.count("bare", f"w{i}") >= 1 for i in range(0, 50_000, 97))
+
+
 def test_sentences_table(spark):
     rows = [("a", "One. Two.", 1), ("a", "One. Two.", 1), ("b", None, 2), ("c", "   ", 3), (None, "Lost.", 4), ("d", "x" * 100_000 + ". End", 5)]
     df = spark.createDataFrame(rows, "key string, text string, end_pos int")

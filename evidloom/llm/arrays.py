@@ -184,6 +184,35 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Records of up to so many words are indexed by combinations of two rare words, longer ones by single words.
+LONG = 40
+
+
+def combinations_of_rarest(v: np.ndarray, rec: np.ndarray, n: np.ndarray, count: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, record): the rarest words of each record, two by two, and one by one for long records.
+
+    Two sets that share o words or more share two of those that come first in any common order of the words, if
+    n - o + 2 of each are taken (one, if n - o + 1 are). Of a set of n words, alike ones share at least likeness * n.
+    So every two alike sets of two words or more have a digest in common. All words of a record must be given.
+    """
+    order = np.lexsort((v, count, rec))
+    w, r = v[order], rec[order]
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    prefix = n - np.ceil(likeness * n - 1e-9).astype(np.int64)
+    out, who = [], []
+    two = np.minimum(n, prefix + 2)
+    for k in np.unique(two[(n >= 2) & (n <= LONG)]):
+        own = np.flatnonzero((two == k) & (n >= 2) & (n <= LONG))
+        x = w[first[own][:, None] + np.arange(k)]
+        i, j = np.triu_indices(int(k), 1)
+        a, b = np.minimum(x[:, i], x[:, j]), np.maximum(x[:, i], x[:, j])
+        with np.errstate(over="ignore"):
+            out.append(mixed(mixed(a, 21) + b * np.uint64(0x9E3779B97F4A7C15), 22).ravel())
+        who.append(np.repeat(own, len(i)))
+    use = (np.arange(len(r)) - first[r] < prefix[r] + 1) & (n[r] >= likeness * LONG)
+    return np.concatenate([*out, mixed(w[use], 23)]), np.concatenate([*who, r[use]]).astype(np.int64)
+
+
 #: The members of a group are paired in blocks of about so many.
 PAIRED = 1000
 

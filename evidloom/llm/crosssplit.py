@@ -6,7 +6,7 @@ it touches and leaves the rest as they were. The digests of the chunks are joine
 shared chunks summed. As chunks part a record without overlap, the sum is a lower bound of the words that two
 records share: where it reaches what the likeness needs, the pair is decided; where it does not, the pair's words
 are compared. Dense edits and reordering can leave no chunk as it was; such pairs meet by combinations of two of
-their rarest words, which any two records of the likeness share (the argument is in ``digests``).
+their rarest words, which any two records of the likeness share (the argument is in ``combinations_of_rarest``).
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import MOST_SIZE, alike, flat_of, frequent_words, may_be_alike, mixed, overlap, sketches, with_word_sets
+from evidloom.llm.arrays import MOST_SIZE, alike, combinations_of_rarest, flat_of, frequent_words, may_be_alike, mixed, overlap, sketches, with_word_sets
 from evidloom.session import checkpointed
 
 #: Words that the rolling hash sees; a chunk ends after one in CUT words on average.
 WINDOW, CUT = 2, 2
-#: Records of up to so many words are indexed by combinations of two rare words, longer ones by single words.
-LONG = 40
 #: Copies of a record are paired in full with up to so many copies of another in each split.
 WHOLE = 1000
 #: A chunk meets others if it has a word that no more than this share of the different texts have, or no more than LEAST.
@@ -59,31 +57,9 @@ def chunks(v: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return starts, mixed(total, 11), lens
 
 
-def combinations_of_rarest(v: np.ndarray, rec: np.ndarray, n: np.ndarray, count: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, record): the rarest words of each record, two by two, and one by one for long records."""
-    order = np.lexsort((v, count, rec))
-    w, r = v[order], rec[order]
-    first = np.r_[0, np.cumsum(n)[:-1]]
-    prefix = n - np.ceil(likeness * n - 1e-9).astype(np.int64)
-    out, who = [], []
-    two = np.minimum(n, prefix + 2)
-    for k in np.unique(two[(n >= 2) & (n <= LONG)]):
-        own = np.flatnonzero((two == k) & (n >= 2) & (n <= LONG))
-        x = w[first[own][:, None] + np.arange(k)]
-        i, j = np.triu_indices(int(k), 1)
-        a, b = np.minimum(x[:, i], x[:, j]), np.maximum(x[:, i], x[:, j])
-        with np.errstate(over="ignore"):
-            out.append(mixed(mixed(a, 21) + b * np.uint64(0x9E3779B97F4A7C15), 22).ravel())
-        who.append(np.repeat(own, len(i)))
-    use = (np.arange(len(r)) - first[r] < prefix[r] + 1) & (n[r] >= likeness * LONG)
-    return np.concatenate([*out, mixed(w[use], 23)]), np.concatenate([*who, r[use]]).astype(np.int64)
-
-
 def digests(texts: DataFrame, counted: tuple[np.ndarray, np.ndarray], line: float, likeness: float) -> DataFrame:
     """(digest, h, sk, length, tr, ho) of each text: its chunks, and with length 0 the combinations of its rarest words.
 
-    Two sets that share o words or more share two of those that come first in any common order of the words, if
-    n - o + 2 of each are taken (one, if n - o + 1 are). Of a set of n words, alike ones share at least likeness * n.
     ``line`` is the number of texts from which on a word is frequent.
     """
     known, often = counted

@@ -6,7 +6,7 @@ each segment less one word (the one-deletion neighbourhood), so sets whose segme
 signature of frequent words only would have a list that grows with the collection; the allocation leaves it out.
 What is left covers a set if its segments of two or more rarer words count 2, those of one count 1, and the sum
 exceeds H: differences too few to spoil every segment must leave one that both sets share (pigeonhole). A set
-that a partition doesn't cover is indexed in the next one too, and after the last by its rarest words, so a pair
+that a partition doesn't cover is indexed in the next one too, and after the last by its rarest words, two by two, so a pair
 meets in the first partition that covers one of the two. No pair is lost; candidates are verified exactly.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.arrays import alike, flat_of, frequent_words, may_be_alike, members, mixed, most_apart, overlap, sketches, with_word_sets, within_groups
+from evidloom.llm.arrays import alike, combinations_of_rarest, flat_of, frequent_words, may_be_alike, members, mixed, most_apart, overlap, sketches, with_word_sets, within_groups
 
 #: A signature needs a word that fewer than this share of the sets (or than LEAST sets) have.
 FREQUENT, LEAST = 0.005, 200
@@ -77,7 +77,7 @@ def size_bands(sizes: dict[int, int], likeness: float) -> list[tuple[int, int]]:
     return best[1]
 
 
-def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, rare_share: float, deletions: bool) -> DataFrame:
+def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, int]], likeness: float, frequent: np.ndarray, often: np.ndarray, rare_share: float, deletions: bool) -> DataFrame:
     """(sig, id, sk): a signature of each allocated segment of each set, or else of the segment less each of its words.
 
     sk is the set's sketch, by which most pairs that merely meet are seen to be too far apart.
@@ -91,7 +91,9 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
             n = np.diff(off)
             rec = np.repeat(np.arange(len(n)), n)
             at = np.searchsorted(frequent, v)
-            rare = np.ones(len(v), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != v
+            at = np.minimum(at, max(0, len(frequent) - 1))
+            rare = frequent[at] != v if len(frequent) else np.ones(len(v), bool)
+            count = np.where(rare, 0, often[at]) if len(frequent) else np.zeros(len(v), np.int64)
             sk = sketches(v, n)
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for k, (lo, hi) in enumerate(bands):
@@ -105,7 +107,9 @@ def signatures(sets: DataFrame, id_col: str, col: str, bands: list[tuple[int, in
                     out += _allocated(v, rec, rare, active, segments[k], 100 * (k + 1) + t, cover, deletions)
                     active = active & (cover <= differ)
                 if active.any() and not deletions:
-                    out.append(_rarest(v, rec, rare, active, n, likeness, 100 * (k + 1) + 99))
+                    own = active[rec]
+                    d, who = combinations_of_rarest(v[own], np.cumsum(active)[rec[own]] - 1, n[active], count[own], likeness)
+                    out.append((mixed(d, 100 * (k + 1) + 99), np.flatnonzero(active)[who]))
             for sig, who in out:
                 for i in range(0, len(sig), 100_000):
                     s = slice(i, i + 100_000)
@@ -138,29 +142,18 @@ def _allocated(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndar
         return [(mixed(total + salt, 3)[some], r[starts][some])]
 
 
-def _rarest(v: np.ndarray, rec: np.ndarray, rare: np.ndarray, active: np.ndarray, n: np.ndarray, likeness: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rarer words of sets that no partition covers, as many that two sets of the likeness share one of them."""
-    keep = active[rec]
-    w, r, ra = v[keep], rec[keep], rare[keep]
-    order = np.lexsort((w, ~ra, r))
-    w, r = w[order], r[order]
-    first = np.searchsorted(r, r)
-    place = np.arange(len(r)) - first
-    use = place < n[r] - np.ceil(likeness * n[r] - 1e-9) + 1
-    return mixed(w[use], seed), r[use]
-
-
 def candidate_pairs(whole: DataFrame, less: DataFrame, likeness: float) -> DataFrame:
     """Distinct (a, b), a < b, of ids that meet in a whole segment, or in a segment of one and the other's less a word.
 
     Pairs whose sketches show that they can't have the likeness are dropped where they meet, before anything is
-    shuffled again. Neither side is partitioned beforehand, so the join's own exchanges are there for the runtime
-    to split where a signature is frequent.
+    shuffled again. A signature has a word that no more than FREQUENT of the sets have, or two words together.
     """
-    x, y = whole.alias("x"), whole.withColumn("less", F.lit(False)).unionByName(less.withColumn("less", F.lit(True))).alias("y")
-    ids = (F.col("x.id") < F.col("y.id")) | (F.col("y.less") & (F.col("x.id") != F.col("y.id")))
-    near = y.join(x.hint("shuffle_hash"), F.col("x.sig") == F.col("y.sig")).where(ids & may_be_alike(F.col("x.sk"), F.col("y.sk"), likeness))
-    return near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+    def met(one: DataFrame, ids: Column) -> DataFrame:
+        near = one.alias("y").join(whole.alias("x").hint("shuffle_hash"), F.col("x.sig") == F.col("y.sig"))
+        return near.where(ids & may_be_alike(F.col("x.sk"), F.col("y.sk"), likeness)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    return met(whole, F.col("x.id") < F.col("y.id")).unionByName(met(less, F.col("x.id") != F.col("y.id"))).distinct()
 
 
 def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) -> DataFrame:
@@ -181,7 +174,9 @@ def similar_sets(rows_of: DataFrame, id_col: str, col: str, likeness: float) ->
     each = sets.select("h", F.inline("same"))
     # the joins below read these as they are; rows of no more than 8 numbers, where the sets have a number a word
     fine = each.select("h", F.size("ws").alias("n"), *(wide_parity("ws", i).alias(f"p{i}") for i in range(WIDE)))
-    whole, less = (signatures(each, "h", "ws", bands, likeness, frequent, rare_share, deletions=x) for x in (False, True))
+    whole, less = (signatures(each, "h", "ws", bands, likeness, frequent, often, rare_share, deletions=x) for x in (False, True))
+    # partitioned by signature once, for the join with itself and that with the deletions
+    whole = whole.repartition(int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig").persist()
     cand = candidate_pairs(whole, less, likeness).unionByName(sets.where(F.size("same") > 1).select(F.col("h").alias("a"), F.col("h").alias("b")))
     return verified(plausible(cand, fine, likeness), sets, likeness)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from evidloom.llm import crosssplit, nearset, splits
-from evidloom.llm.arrays import digest, sketches, with_word_sets
+from evidloom.llm.arrays import combinations_of_rarest, digest, sketches, with_word_sets
 from evidloom.llm.textforms import words
 
 
@@ -164,7 +164,7 @@ def test_rarest_words_bring_all_alike_records_together():
     n = np.array([len(s) for s in sets])
     v, rec = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     count = np.bincount(v.astype(int), minlength=300)[v.astype(int)]
-    d, who = crosssplit.combinations_of_rarest(v, rec, n, count, 0.6)
+    d, who = combinations_of_rarest(v, rec, n, count, 0.6)
     of = [set() for _ in sets]
     for x, w in zip(d.tolist(), who.tolist()):
         of[w].add(x)

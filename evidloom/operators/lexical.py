@@ -63,10 +63,17 @@ def rank_in_document(queries: DataFrame, chunks: DataFrame, query: str, text: st
     """
     idx = postings(chunks, ["source"], ["ord"], "text")
     hit = scores(queries, [query], text, idx, ["source"], ["ord"])
-    q = queries.where(F.size(tokens(text)) > 0).select(query, "source").distinct()
-    pairs = q.join(chunks.select("source", "ord", "chunk_id"), "source").join(hit, [query, "source", "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     w = Window.partitionBy(query, "source").orderBy(F.desc("score"), F.desc("ord"))
-    return pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select(query, "source", "chunk_id", "ord", "score", "rk")
+    best = hit.where("score > 0").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    # queries of fewer than k hits are filled up with the last of the others: those are among the source's last 2 k
+    have = best.groupBy(query, "source").agg(F.max("rk").alias("_h"), F.collect_list("ord").alias("_own"))
+    q = queries.where(F.size(tokens(text)) > 0).select(query, "source").distinct()
+    short = q.join(have, [query, "source"], "left").withColumn("_h", F.coalesce("_h", F.lit(0))).where(F.col("_h") < k)
+    last = chunks.groupBy("source").agg(F.array_sort(F.collect_set("ord")).alias("_o")).select("source", F.expr(f"slice(_o, greatest(1, size(_o) - {2 * k} + 1), {2 * k})").alias("_o"))
+    rest = short.join(last, "source").withColumn("_o", F.reverse(F.array_except("_o", F.coalesce("_own", F.array().cast("array<int>")))))
+    fill = rest.select(query, "source", F.lit(0.0).alias("score"), "_h", F.posexplode(F.slice("_o", F.lit(1), F.lit(k) - F.col("_h"))).alias("_p", "ord"))
+    all_ = best.select(query, "source", "ord", "score", "rk").unionByName(fill.select(query, "source", "ord", "score", (F.col("_h") + F.col("_p") + 1).alias("rk")))
+    return all_.join(chunks.select("source", "ord", "chunk_id"), ["source", "ord"]).select(query, "source", "chunk_id", "ord", "score", "rk")
 
 
 def gold_ranks(queries: DataFrame, chunks: DataFrame, query: str, text: str, k: int = 50) -> DataFrame:
@@ -78,21 +85,20 @@ def gold_ranks(queries: DataFrame, chunks: DataFrame, query: str, text: str, k:
     idx = postings(chunks, ["source"], ["ord"], "text")
     hit = scores(queries, [query], text, idx, ["source"], ["ord"]).where("score > 0").withColumnRenamed("ord", "_o").withColumnRenamed("score", "_s")
     gold = queries.select(query, "source", "gold_chunk_id", (F.size(tokens(text)) > 0).alias("_some")).distinct()
-    at = chunks.groupBy("source", F.col("chunk_id").alias("gold_chunk_id")).agg(F.max("ord").alias("_g"))
+    behind = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ord"))) - 1  # an article's chunks at most
+    at = chunks.withColumn("_behind", behind).groupBy("source", F.col("chunk_id").alias("gold_chunk_id")).agg(F.max("ord").alias("_g"), F.min("_behind").alias("_behind"))
     own = gold.join(at, ["source", "gold_chunk_id"], "left")
     own_score = hit.select(query, "source", F.col("_o").alias("_g"), F.col("_s").alias("_gs"))
     own = own.join(own_score, [query, "source", "_g"], "left")
-    better = own.join(hit, [query, "source"], "left").groupBy(query, "source", "gold_chunk_id", "_some", "_g", "_gs").agg(
+    better = own.join(hit, [query, "source"], "left").groupBy(query, "source", "gold_chunk_id", "_some", "_g", "_gs", "_behind").agg(
         F.count_if((F.col("_s") > F.col("_gs")) | ((F.col("_s") == F.col("_gs")) & (F.col("_o") > F.col("_g")))).alias("above"),
         F.count("_s").alias("positive"),
         F.count_if(F.col("_o") > F.col("_g")).alias("positive_after"),
     )
-    ends = chunks.groupBy("source").agg(F.sort_array(F.collect_list("ord")).alias("_ords"))
-    x = better.join(ends, "source", "left")
-    after = F.size(F.filter("_ords", lambda o: o > F.col("_g"))) - F.col("positive_after")
+    after = F.col("_behind") - F.col("positive_after")
     rank = F.when(F.col("_gs").isNotNull(), 1 + F.col("above")).otherwise(1 + F.col("positive") + after)
     ok = F.col("_some") & F.col("_g").isNotNull()
-    return x.select(query, "source", "gold_chunk_id", F.when(ok & (rank <= k), rank).cast("bigint").alias("rank"))
+    return better.select(query, "source", "gold_chunk_id", F.when(ok & (rank <= k), rank).cast("bigint").alias("rank"))
 
 
 def rank_in_collection(queries: DataFrame, docs: DataFrame, query: str, text: str, doc: str, doc_text: str, k: int = 10) -> DataFrame:
@@ -106,11 +112,20 @@ def rank_in_collection(queries: DataFrame, docs: DataFrame, query: str, text: st
 def hard_negatives(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, query: str, n: int = 7, seed: int = 42) -> DataFrame:
     """(query, source, chunk_id, place): the n best chunks that aren't gold, filled from the rest in seeded order."""
     top = max(40, 5 * n)
-    gold = queries.select(query, "source", "gold_chunk_id").distinct()
+    gold = queries.select(query, "source", "gold_chunk_id").where("gold_chunk_id is not null").distinct()
     r = ranked.where(F.col("rk") <= top).select(query, "source", "chunk_id", "rk")
-    all_ = gold.join(chunks.select("source", "chunk_id").distinct(), "source").where("chunk_id <> gold_chunk_id").join(r, [query, "source", "chunk_id"], "left")
-    w = Window.partitionBy(query, "source").orderBy(F.col("rk").asc_nulls_last(), F.md5(F.concat(F.lit(f"{seed}:"), "chunk_id")), "chunk_id")
-    return all_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(query, "source", "chunk_id", "place")
+    own = chunks.select("source", "chunk_id").distinct()
+    w = Window.partitionBy(query, "source").orderBy("rk")
+    best = gold.join(r, [query, "source"]).where("chunk_id <> gold_chunk_id").join(own, ["source", "chunk_id"], "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    have = r.groupBy(query, "source").agg(F.collect_list("chunk_id").alias("_own"))
+    count = best.groupBy(query, "source").agg(F.max("place").alias("_h"))
+    short = gold.join(count, [query, "source"], "left").withColumn("_h", F.coalesce("_h", F.lit(0))).where(F.col("_h") < n).join(have, [query, "source"], "left")
+    # a source's first chunks in seeded order, as many as are enough whatever is taken already
+    seeded = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "chunk_id")), "chunk_id")
+    first = own.withColumn("_i", F.row_number().over(seeded)).where(F.col("_i") <= top + n + 1).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_i", "chunk_id"))).alias("_f"))
+    rest = short.join(first, "source").withColumn("_f", F.array_except(F.transform("_f", lambda x: x["chunk_id"]), F.array_append(F.coalesce("_own", F.array().cast("array<string>")), F.col("gold_chunk_id"))))
+    fill = rest.select(query, "source", "_h", F.posexplode(F.slice("_f", F.lit(1), F.lit(n) - F.col("_h"))).alias("_p", "chunk_id"))
+    return best.select(query, "source", "chunk_id", "place").unionByName(fill.select(query, "source", "chunk_id", (F.col("_h") + F.col("_p") + 1).alias("place")))
 
 
 def reranker_pairs(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, query: str, n: int = 4) -> DataFrame:

@@ -12,12 +12,21 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.session import scan_splits
+from evidloom.session import scan_splits, split_bytes
 
 #: Rows of a chunk, and chunks whose states one merge takes.
 CHUNK, FAN_IN = 65_536, 8
 
 
+#: A row of a scan has so many bytes in its file at least, by which the rows of a split are bounded.
+LEAST_ROW = 4
+
+
+def rows_of_split(df: DataFrame) -> int:
+    """More rows than a split of the scan can hold, from the size of splits alone."""
+    return split_bytes(df.sparkSession) // LEAST_ROW
+
+
 class State:
     """A result that can be built of parts: how a row enters a state, how states merge, what the result is."""
 
@@ -47,16 +56,17 @@ def tree_aggregate(df: DataFrame, key: str, states: list[State], chunk: int = CH
     Nulls enter a state as SQL's sum, min and max take them. Columns of ``df`` that no state names play no
     part, even if they have a state's name. An empty table gives no rows. Needs two or more as fan-in.
     """
-    if fan_in < 2 or chunk < 1:
-        raise ValueError("fan_in must be 2 or more, chunk 1 or more")
+    if fan_in < 2 or chunk < 1 or chunk & (chunk - 1):
+        raise ValueError("fan_in must be 2 or more, chunk a power of two")
     k = "_key"
     # the upper bits of the id are the partition, the lower 33 the row's place in it
     row = F.monotonically_increasing_id()
-    src = df.select(F.col(key).alias(k), *(s.first.alias(f"_s{i}") for i, s in enumerate(states)), F.shiftright(row, 33).alias("_p"), (F.shiftright(row.bitwiseAND((1 << 33) - 1), int(math.log2(chunk)))).alias("_c"))
+    src = df.select(F.col(key).alias(k), *(s.first.alias(f"_s{i}") for i, s in enumerate(states)), F.shiftright(row, 33).alias("_p"), (F.shiftright(row.bitwiseAND((1 << 33) - 1), chunk.bit_length() - 1)).alias("_c"))
     merged = lambda d, *by: d.groupBy(k, *by).agg(*(getattr(F, s.merge)(f"_s{i}").alias(f"_s{i}") for i, s in enumerate(states)))
     level = merged(src, "_p", "_c")
     # chunks of one partition meet first, then partitions; the rounds are logarithmic in both
-    level = merged(level.withColumn("_c", F.floor(F.col("_c") / fan_in)), "_p", "_c")
+    for _ in range(max(1, math.ceil(math.log(max(1, rows_of_split(df) / chunk), fan_in)) - 1)):
+        level = merged(level.withColumn("_c", F.floor(F.col("_c") / fan_in)), "_p", "_c")
     parts = max(scan_splits(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     level = merged(level, "_p")
     for _ in range(max(0, math.ceil(math.log(parts, fan_in)) - 1)):

@@ -43,9 +43,9 @@ def verification(s: SparkSession, d: str) -> DataFrame:
 def located(s: SparkSession, d: str) -> DataFrame:
     """One row for each (final_id, source) of the gold labels, with the texts of its claim."""
     gold, a = table(s, d, "localization"), claims(s, d)
-    g = gold.groupBy("final_id", "source").agg(*(F.min(c).alias(c) for c in ("gold_chunk_id", "gold_match_type", "judgement", "type", "split")))
-    t = a.groupBy("final_id", "source").agg(*(F.min(c).alias(c) for c in ("claim", "evidence", "reasoning")))
-    return g.join(t, ["final_id", "source"])
+    one = lambda df, cols: df.groupBy("final_id", "source").agg(F.max(F.struct(*cols)).alias("r")).select("final_id", "source", "r.*")
+    g = one(gold, ["gold_chunk_id", "gold_match_type", "judgement", "type", "split"])
+    return g.join(one(a, ["claim", "evidence", "reasoning"]), ["final_id", "source"])
 
 
 # ---- text
@@ -94,7 +94,7 @@ def span_iou(s: SparkSession, d: str) -> DataFrame:
 @query
 def html_title(s: SparkSession, d: str) -> DataFrame:
     a = table(s, d, "articles")
-    html = F.concat(F.lit("<html><head>\n<TITLE> "), F.coalesce("title", F.lit("")), F.lit(" - Wiki, the encyclopedia</title></head><body>"), F.coalesce(F.substring("text", 1, 50), F.lit("")), F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><head>\n<TITLE> "), F.coalesce("title", F.lit("")), F.lit(" - Wiki, the encyclopedia</title></head><body>"), F.coalesce("text", F.lit("")), F.lit("</body></html>"))
     return a.select("source", T.html_title(html).alias("title"))
 
 
@@ -273,7 +273,9 @@ def verified_semi(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def exclude_known_anti(s: SparkSession, d: str) -> DataFrame:
-    return relate.excluding(articles(s, d).select("source", "title"), table(s, d, "localization").select("source"), "source")
+    """Articles in which no evidence of the validation records was found word for word."""
+    known = table(s, d, "localization").where("gold_match_type = 'exact' and split = 'val'")
+    return relate.excluding(articles(s, d).select("source", "title"), known.select("source"), "source")
 
 
 @query
@@ -306,7 +308,8 @@ def reject_reasons(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def set_differences(s: SparkSession, d: str) -> DataFrame:
-    return relate.differences(articles(s, d).select("source"), claims(s, d).select("source"))
+    """Sources of longer articles against those of test records."""
+    return relate.differences(articles(s, d).where("num_sentences > 10").select("source"), table(s, d, "localization").where("split = 'test'").select("source"))
 
 
 @query
@@ -316,7 +319,8 @@ def bookkeeping(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cache_to_fetch(s: SparkSession, d: str) -> DataFrame:
-    return resolve.to_fetch(claims(s, d), articles(s, d))
+    """What a cache of the longer articles lacks."""
+    return resolve.to_fetch(claims(s, d), articles(s, d).where("num_sentences > 10"))
 
 
 @query
@@ -351,7 +355,8 @@ def split_mix(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_leaks(s: SparkSession, d: str) -> DataFrame:
-    return splitting.leaks(table(s, d, "localization"))
+    """Mutation types that stand in more than one split (sources may not, and do not)."""
+    return splitting.leaks(table(s, d, "localization"), "type")
 
 
 # ---- evidence

@@ -43,8 +43,8 @@ def iou(a: str, b: str) -> str:
 CHUNKS = "chunks AS (SELECT DISTINCT * FROM wikipedia_chunks)"
 VER = """ver AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY found DESC NULLS LAST, verified_at DESC NULLS LAST, ingested_at DESC NULLS LAST, resolution_notes DESC NULLS LAST) rn
   FROM (SELECT DISTINCT * FROM source_verification)) WHERE rn = 1)"""
-LOCATED = """g AS (SELECT final_id, source, min(gold_chunk_id) gold_chunk_id, min(gold_match_type) gold_match_type, min(judgement) judgement, min("type") "type", min(split) split FROM localization GROUP BY ALL),
-t AS (SELECT final_id, source, min(claim) claim, min(evidence) evidence, min(reasoning) reasoning FROM arafa GROUP BY ALL),
+LOCATED = """g AS (SELECT final_id, source, gold_chunk_id, gold_match_type, judgement, "type", split FROM localization QUALIFY row_number() OVER (PARTITION BY final_id, source ORDER BY gold_chunk_id DESC NULLS LAST, gold_match_type DESC NULLS LAST, judgement DESC NULLS LAST, "type" DESC NULLS LAST, split DESC NULLS LAST) = 1),
+t AS (SELECT final_id, source, claim, evidence, reasoning FROM arafa QUALIFY row_number() OVER (PARTITION BY final_id, source ORDER BY claim DESC NULLS LAST, evidence DESC NULLS LAST, reasoning DESC NULLS LAST) = 1),
 located AS (SELECT * FROM g JOIN t USING (final_id, source))"""
 
 CONTAIN = f"""CASE WHEN len(list_distinct({toks('claim')})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({toks('claim')}), list_distinct({toks('evidence')})))::DOUBLE / len(list_distinct({toks('claim')})) END"""
@@ -157,7 +157,7 @@ SQL: dict[str, str] = {
     "evidence_lengths": f"WITH {LOCATED}, x AS (SELECT gold_match_type, len({seg('evidence')}) n FROM located) SELECT gold_match_type, count(*) AS claims, round(avg(n), 3) AS mean_sentences, count(*) FILTER (n > 3) AS long, round(avg((n > 3)::INTEGER::DOUBLE), 4) AS share_long FROM x GROUP BY 1",
     "verified_left_join": f"WITH {VER} SELECT c.final_id, c.source, coalesce(v.found, false) AS found, v.title, v.url FROM (SELECT DISTINCT final_id, source FROM arafa) c LEFT JOIN ver v ON v.source = c.source",
     "verified_semi": f"WITH {VER} SELECT DISTINCT final_id, source FROM arafa WHERE source IN (SELECT source FROM ver WHERE found)",
-    "exclude_known_anti": "SELECT source, title FROM articles WHERE source NOT IN (SELECT source FROM localization WHERE source IS NOT NULL)",
+    "exclude_known_anti": "SELECT source, title FROM articles WHERE source NOT IN (SELECT source FROM localization WHERE source IS NOT NULL AND gold_match_type = 'exact' AND split = 'val')",
     "update_join": """WITH f AS (SELECT source, max(error) error FROM source_verification WHERE NOT found GROUP BY source), p AS (SELECT source, max(resolved_pageid) resolved_pageid FROM source_verification WHERE resolved_pageid > 0 GROUP BY source)
       SELECT f.source, f.error, p.source IS NOT NULL AS found, p.resolved_pageid FROM f LEFT JOIN p USING (source)""",
     "upsert": f"WITH {VER}, n AS (SELECT source, title FROM ver WHERE title IS NOT NULL) SELECT * FROM n UNION ALL SELECT source, title FROM articles WHERE source NOT IN (SELECT source FROM n)",
@@ -167,10 +167,10 @@ SQL: dict[str, str] = {
       SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(lower(trim(judgement)), '') NOT IN ('supported', 'refuted') THEN 'not_supported_refuted' WHEN gold_match_type IS NULL THEN 'no_gold' WHEN gold_match_type NOT IN ('exact', 'fuzzy') THEN 'match_' || gold_match_type
         WHEN coalesce(gold_chunk_id, '') = '' THEN 'no_chunk_id' WHEN k.chunk_id IS NULL THEN 'chunk_id_missing' ELSE 'kept' END AS reason
       FROM c LEFT JOIN g USING (final_id, source) LEFT JOIN k ON k.source = c.source AND k.chunk_id = g.gold_chunk_id) GROUP BY reason""",
-    "set_differences": "SELECT 'left' AS side, source AS key FROM (SELECT source FROM articles EXCEPT SELECT source FROM arafa) UNION ALL SELECT 'right', source FROM (SELECT source FROM arafa EXCEPT SELECT source FROM articles)",
+    "set_differences": "SELECT 'left' AS side, source AS key FROM (SELECT source FROM articles WHERE num_sentences > 10 EXCEPT SELECT source FROM localization WHERE split = 'test') UNION ALL SELECT 'right', source FROM (SELECT source FROM localization WHERE split = 'test' EXCEPT SELECT source FROM articles WHERE num_sentences > 10)",
     "bookkeeping": f"""WITH {VER}, f AS (SELECT DISTINCT source FROM ver WHERE found), c AS (SELECT DISTINCT source FROM articles WHERE coalesce(text, '') <> ''), k AS (SELECT DISTINCT source FROM wikipedia_chunks)
       SELECT (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM c) AS cached, (SELECT count(*) FROM k) AS chunked, (SELECT count(*) FROM f WHERE source NOT IN (SELECT source FROM c)) AS found_not_cached, (SELECT count(*) FROM f WHERE source NOT IN (SELECT source FROM k)) AS found_not_chunked""",
-    "cache_to_fetch": "SELECT DISTINCT source FROM arafa WHERE source NOT IN (SELECT source FROM articles WHERE coalesce(text, '') <> '')",
+    "cache_to_fetch": "SELECT DISTINCT source FROM arafa WHERE source NOT IN (SELECT source FROM articles WHERE coalesce(text, '') <> '' AND num_sentences > 10)",
     "read_through": "SELECT coalesce(a.source, d.doc_id) AS source, length(coalesce(nullif(a.text, ''), d.text))::INTEGER AS n FROM articles a FULL JOIN (SELECT doc_id, text FROM documents WHERE kind = 'article') d ON a.source = d.doc_id",
     "batches": "SELECT item_id // 20 AS batch, count(*) AS n FROM eval_items GROUP BY 1",
     "seeded_sample": "SELECT final_id FROM (SELECT DISTINCT final_id FROM arafa) ORDER BY md5('42:' || final_id::VARCHAR), final_id LIMIT 100",
@@ -180,7 +180,7 @@ SQL: dict[str, str] = {
       SELECT source, n, bucket::INTEGER AS bucket, CASE WHEN i < t THEN 'train' WHEN i < t + v THEN 'val' ELSE 'test' END AS split FROM w""",
     "split_mix": f"""WITH {LOCATED} SELECT split, count(*) AS claims, count(DISTINCT source) AS articles, count(*) FILTER (lower(trim(judgement)) = 'supported') AS supported, count(*) FILTER (lower(trim(judgement)) = 'refuted') AS refuted,
       count(*) FILTER (gold_match_type = 'exact') AS exact, count(*) FILTER (gold_match_type = 'fuzzy') AS fuzzy FROM located GROUP BY split""",
-    "split_leaks": "SELECT source, count(DISTINCT split) AS splits FROM localization WHERE split IS NOT NULL GROUP BY source HAVING count(DISTINCT split) > 1",
+    "split_leaks": 'SELECT "type", count(DISTINCT split) AS splits FROM localization WHERE split IS NOT NULL GROUP BY "type" HAVING count(DISTINCT split) > 1',
     "evidence_exact_window": f"""WITH {CHUNKS}, e AS (SELECT DISTINCT final_id, source, {norm('evidence')} e FROM arafa WHERE {norm('evidence')} <> ''), c AS (SELECT source, ord, chunk_id, window_size, {norm('text')} t FROM chunks)
       SELECT DISTINCT final_id, source, chunk_id FROM (SELECT final_id, source, e, arg_min(chunk_id, (window_size, ord)) chunk_id FROM e JOIN c USING (source) WHERE contains(t, e) GROUP BY final_id, source, e)""",
     "token_overlap": f"WITH {LOCATED} SELECT final_id, source, round({CONTAIN}, 6)::DOUBLE AS overlap FROM located",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,8 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint.
 
-    The folder is the one that ``spark.checkpoint.dir`` names, which all executors share. A folder
-    of this machine is set only where the session has none, as in tests.
+    The folder is the one that ``spark.checkpoint.dir`` names, which all executors share.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -44,17 +45,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors reach: under ``spark.checkpoint.dir``, or of this machine where that is unset, as in tests."""
+    """A new folder that all executors reach, under ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on a cluster raises. One in a single process, as in tests, gets a folder of
+    this machine, which goes with the process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"evidloom-{name}-")
+    if base:
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=f"evidloom-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scan_splits(df: DataFrame) -> int:
     """About how many tasks scan the files behind ``df``, from their sizes alone: no job runs."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(1, len(df.inputFiles()), -(-min(size, 2**60) // int(most)))
+    return max(1, len(df.inputFiles()), -(-min(size, 2**60) // split_bytes(spark)))
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of a file that one task scans at most."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:

@@ -61,9 +61,15 @@ def known_sources(ver: DataFrame) -> DataFrame:
     return ver.where("found").select("source").distinct()
 
 
-def processed(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The keys that an earlier run has written; none if it wrote nothing."""
+def processed(spark: SparkSession, path: str, key: str, kind: str = "bigint") -> DataFrame:
+    """The keys that an earlier run has written; none if it wrote nothing.
+
+    Nothing written means no such path, or a folder without a data file. An output without the key is an error.
+    """
     try:
-        return spark.read.parquet(path).select(key).distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], f"{key} bigint")
+        done = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"`{key}` {kind}")
+    return done.select(key).distinct()

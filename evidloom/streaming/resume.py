@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidloom.sources.readers import processed
 
@@ -12,12 +13,13 @@ from evidloom.sources.readers import processed
 def run_available(spark: SparkSession, source: str, schema: str, key: str, out: str, state: str, work: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
     """Process all files of ``source`` that no earlier call has processed, and append the results to ``out``.
 
-    A key already in ``out`` is skipped (an anti-join, so no state grows with the keys); within a call the first
-    row of a key counts. The checkpoint in ``state`` makes a call after a failure go on where the last one stopped.
+    A key already in ``out`` is skipped (an anti-join, so no state grows with the keys), null like any other; within
+    a call the first row of a key counts. The checkpoint in ``state`` makes a call after a failure go on where the last one stopped.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        new = df.dropDuplicates([key]).join(processed(spark, out, key), key, "left_anti")
+        done = processed(spark, out, key, dict(df.dtypes)[key]).withColumnRenamed(key, "_done")
+        new = df.dropDuplicates([key]).join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
         work(new).write.mode("append").parquet(out)
 
     q = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()

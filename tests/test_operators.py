@@ -214,3 +214,31 @@ def test_resolution_and_patch(spark):
     ver = spark.createDataFrame([(1, False, None, None, None), (8, False, None, None, None)], "source long, found boolean, title string, resolution_method string, resolved_pageid long")
     out = {r.source: (r.found, r.resolved_pageid) for r in resolve.applied(ver, got).collect()}
     assert out == {1: (True, 1), 8: (False, None)}
+
+
+def test_long_windows_are_bounded_by_each_claim(spark):
+    s = [f"Sentence number {w} tells of the {w} town." for w in ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")]
+    articles = spark.createDataFrame([(1, " ".join(s))], "source long, text string")
+    chunks = windows.chunks(articles)
+    near = " ".join(s[2:5]) + " Sentence number sixth tells of a town elsewhere far away."
+    one, long = (1, 1, near), (2, 1, " ".join(s[:8]).replace("town", "towns"))
+    schema = "final_id long, source long, evidence string"
+    label = lambda rows: next(tuple(r) for r in match.gold_labels(spark.createDataFrame(rows, schema), chunks, articles).collect() if r.final_id == 1)
+    alone, beside = label([one]), label([one, long])
+    assert alone == beside and alone[3] == "fuzzy"
+    start, end = map(int, alone[2].split(":")[1].split("-"))
+    assert end - start + 1 <= 4
+
+
+def test_queries_with_few_hits_are_filled_up(spark):
+    chunks = spark.createDataFrame([(1, i, f"1:{i}-{i}", f"word{i} common" if i < 3 else f"other{i}") for i in range(9)], "source long, ord int, chunk_id string, text string")
+    q = spark.createDataFrame([(1, 1, "word1 common", "1:1-1"), (2, 1, "nothing here", "1:0-0"), (3, 1, "", "1:2-2"), (4, 7, "word1", "7:0-0")], "final_id long, source long, claim string, gold_chunk_id string")
+    got = {}
+    for r in lexical.rank_in_document(q, chunks, "final_id", "claim", k=5).orderBy("rk").collect():
+        got.setdefault(r.final_id, []).append((r.rk, r.ord))
+    assert got == {1: [(1, 1), (2, 2), (3, 0), (4, 8), (5, 7)], 2: [(1, 8), (2, 7), (3, 6), (4, 5), (5, 4)]}
+    ranks = {r.final_id: r["rank"] for r in lexical.gold_ranks(q, chunks, "final_id", "claim").collect()}
+    assert ranks == {1: 1, 2: 9, 3: None, 4: None}
+    neg = lexical.hard_negatives(lexical.rank_in_document(q, chunks, "final_id", "claim", k=2), q, chunks, "final_id", n=3).collect()
+    assert sorted((r.final_id, r.place) for r in neg) == [(i, p) for i in (1, 2, 3) for p in (1, 2, 3)]
+    assert all(r.chunk_id != f"1:{ {1: 1, 2: 0, 3: 2}[r.final_id] }-{ {1: 1, 2: 0, 3: 2}[r.final_id] }" for r in neg)

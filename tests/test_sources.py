@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from evidloom.operators.windows import chunks
 from evidloom.sources import pages, readers, schemas, writers
@@ -109,3 +110,35 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r.chunk_id for r in spark.read.parquet(out).collect()) == ["1:0-0", "1:1-1", "2:0-0", "3:0-0"]
     run_available(spark, src, schema, "source", out, state, lambda d: chunks(d, largest=1))
     assert spark.read.parquet(out).count() == 4
+
+
+def test_processed_tells_nothing_written_from_errors(spark, tmp_path):
+    from evidloom.sources.readers import processed
+
+    assert processed(spark, str(tmp_path / "none"), "k", "string").dtypes == [("k", "string")]
+    spark.createDataFrame([(1,)], "other long").write.parquet(str(tmp_path / "out"))
+    with pytest.raises(AnalysisException):
+        processed(spark, str(tmp_path / "out"), "k").count()
+
+
+def test_null_keys_come_out_once(spark, tmp_path):
+    from evidloom.streaming.resume import run_available
+
+    at = lambda x: str(tmp_path / x)
+    for _ in range(2):
+        spark.createDataFrame([(None, "a"), (1, "b")], "k long, v string").write.mode("append").parquet(at("in"))
+        run_available(spark, at("in"), "k long, v string", "k", at("out"), at("state"))
+    assert sorted((r.k or 0) for r in spark.read.parquet(at("out")).collect()) == [0, 1]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from evidloom import session
+
+    class Other:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            session.shared_folder(Other, "x")
+        assert session.shared_folder(spark, "x").startswith("/")

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom.llm.textforms import words
 
-#: Held-out windows that a hash set of every worker may hold; beyond it the windows are joined instead.
+#: Held-out windows that a hash set of every worker may hold; beyond it the windows are joined, with the same result.
 MOST_WINDOWS = 300_000
 
 
@@ -19,6 +20,10 @@ def windows(ws: list[str], n: int) -> list[tuple[str, ...]]:
     return [tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)]
 
 
+def _digest(x: str) -> bytes:
+    return xxhash.xxh3_128_digest(x.encode())
+
+
 def _item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,17 +87,29 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, n: int) -> DataFrame:
-    """The same with a join on the windows, for item sets that no worker should hold."""
+    """The same with a join on the windows' digests, for item sets that no worker should hold.
+
+    Windows that meet are runs: one that begins no later than a word after another's end goes on with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if g := [" ".join(x) for x in windows(words(t), n)]:
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(g), pa.int64()), pa.array(range(len(g)), pa.int64()), pa.array(g)], ["doc", "at", "gram"])
+                    own = _digest(t)
+                    for i in range(0, len(g), 50_000):
+                        part = g[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([d] * len(part), pa.int64()), pa.array([own] * len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int64()), pa.array([_digest(x) for x in part], pa.binary())], ["doc", "t", "at", "gram"])
 
     src = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-    hits = src.mapInArrow(run, "doc bigint, at bigint, gram string").join(grams, "gram")
-    return hits.select("doc", "item", F.col("at").alias("first_word"), (F.col("at") + n - 1).alias("last_word")).distinct()
+    key = F.udf(_digest, "binary")
+    hits = src.mapInArrow(run, "doc bigint, t binary, at bigint, gram binary").join(grams.select("item", key("gram").alias("gram")), "gram")
+    hits = hits.select("doc", "t", "item", "at").distinct()
+    w = Window.partitionBy("doc", "t", "item").orderBy("at")
+    new = F.coalesce((F.col("at") - F.lag("at").over(w) > n).cast("int"), F.lit(1))
+    runs = hits.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    spans = runs.groupBy("doc", "t", "item", "_run").agg(F.min("at").alias("first_word"), (F.max("at") + n - 1).alias("last_word"))
+    return spans.select("doc", "item", "first_word", "last_word").distinct()
 
 
 def item_report(found: DataFrame, items: DataFrame, item_id: str) -> DataFrame:

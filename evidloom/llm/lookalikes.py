@@ -19,13 +19,17 @@ from evidloom.llm.arrays import members
 from evidloom.llm.textforms import base_form, latin_words, replace_tokens, suspicious
 from evidloom.session import checkpointed
 
-_FORM = "field string, source bigint, key string, raw binary, form binary, base string, tokens array<struct<token:string,repaired:string>>, words array<string>"
+_FORM = "field string, source bigint, key string, raw binary, form binary, base string, tokens array<struct<token:string,repaired:string,rank:int>>, words array<string>"
 
 
 def _digest(s: str) -> bytes:
     return xxhash.xxh3_128_digest(s.encode())
 
 
+def _listed(found: list[tuple[str, list[str]]]) -> list[dict]:
+    return [{"token": t, "repaired": r, "rank": k} for t, rs in found for k, r in enumerate(rs)]
+
+
 def base_forms(texts: DataFrame) -> DataFrame:
     """``texts`` (field, source, key, t) with digests of the text as it is and of its base form.
 
@@ -34,7 +38,7 @@ def base_forms(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string())]))
+        kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string()), ("rank", pa.int32())]))
         for b in batches:
             keep, raw, form, base, toks, words = [], [], [], [], [], []
             for i, t in enumerate(b.column(3).to_pylist()):
@@ -46,7 +50,7 @@ def base_forms(texts: DataFrame) -> DataFrame:
                 raw.append(_digest(t))
                 form.append(_digest(f))
                 base.append(f if s else None)
-                toks.append([{"token": a, "repaired": r} for a, r in s] if s else None)
+                toks.append(_listed(s) if s else None)
                 words.append(latin_words(f))
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(raw, pa.binary()), pa.array(form, pa.binary()), pa.array(base, pa.string()), pa.array(toks, kind), pa.array(words, pa.list_(pa.string()))], ["field", "source", "key", "raw", "form", "base", "tokens", "words"])
@@ -61,11 +65,12 @@ def repaired_forms(texts: DataFrame) -> DataFrame:
     """
     x = base_forms(texts).persist()
     mixed = x.where("base is not null")
-    asked = mixed.select(F.explode("tokens").alias("p")).select("p.token", "p.repaired").distinct()
+    toks = mixed.dropDuplicates(["form"]).select("form", F.inline("tokens"))
+    asked = toks.select("repaired").distinct()
     vocabulary = x.select(F.explode("words").alias("repaired")).distinct()
-    accepted = asked.join(vocabulary, "repaired", "left_semi")
-    toks = mixed.select("form", "base", F.explode("tokens").alias("p")).select("form", "base", F.col("p.token").alias("token")).distinct()
-    per_form = toks.join(accepted, "token").groupBy("form").agg(F.first("base").alias("base"), F.map_from_entries(F.collect_set(F.struct("token", "repaired"))).alias("to"))
+    accepted = toks.join(asked.join(vocabulary, "repaired", "left_semi"), "repaired").groupBy("form", "token").agg(F.min_by("repaired", "rank").alias("repaired"))
+    to = accepted.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("token", "repaired"))).alias("to"))
+    per_form = to.join(mixed.dropDuplicates(["form"]).select("form", "base"), "form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,10 +92,10 @@ def one_form(df: DataFrame, text: str, out: str = "one_form") -> DataFrame:
     they are there.
     """
     t = df.select(F.col(text).alias("t")).where("t is not null").distinct()
-    x = t.mapInArrow(_suspects, "t string, base string, tokens array<struct<token:string,repaired:string>>, words array<string>").persist()
-    asked = x.select(F.explode("tokens").alias("p")).select("p.token", "p.repaired").distinct()
-    ok = asked.join(x.select(F.explode("words").alias("repaired")).distinct(), "repaired", "left_semi")
-    own = x.select("t", F.explode("tokens").alias("p")).select("t", F.col("p.token").alias("token")).distinct().join(ok, "token")
+    x = t.mapInArrow(_suspects, "t string, base string, tokens array<struct<token:string,repaired:string,rank:int>>, words array<string>").persist()
+    toks = x.select("t", F.inline("tokens"))
+    ok = toks.select("repaired").distinct().join(x.select(F.explode("words").alias("repaired")).distinct(), "repaired", "left_semi")
+    own = toks.join(ok, "repaired").groupBy("t", "token").agg(F.min_by("repaired", "rank").alias("repaired"))
     to = own.groupBy("t").agg(F.map_from_entries(F.collect_set(F.struct("token", "repaired"))).alias("to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +108,10 @@ def one_form(df: DataFrame, text: str, out: str = "one_form") -> DataFrame:
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string())]))
+    kind = pa.list_(pa.struct([("token", pa.string()), ("repaired", pa.string()), ("rank", pa.int32())]))
     for b in batches:
         forms = [base_form(t) for t in b.column(0).to_pylist()]
-        toks = [[{"token": a, "repaired": r} for a, r in suspicious(f)] for f in forms]
+        toks = [_listed(suspicious(f)) for f in forms]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms), pa.array(toks, kind), pa.array([latin_words(f) for f in forms], pa.list_(pa.string()))], ["t", "base", "tokens", "words"])
 
 

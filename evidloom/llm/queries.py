@@ -42,6 +42,10 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.stratified_splits(table(spark, d, "arafa"), "final_id", "source", "judgement", table(spark, d, "source_verification"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_classes(table(spark, d, "arafa"), "final_id", "source", table(spark, d, "source_verification"))
+
+
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     a, c = table(spark, d, "arafa"), table(spark, d, "wikipedia_chunks")
     each = lambda df, field, key, text: df.where(F.col(key).isNotNull()).select(F.lit(field).alias("field"), "source", F.col(key).cast("string").alias("key"), F.col(text).alias("t"))
@@ -98,7 +102,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated.truncation_report(_truncated(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_splits": p4_splits, "p4_classes": p4_classes, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_report": p7_report, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL: dict[str, str] = {
     "p4_found": """WITH RECURSIVE e AS (SELECT a.source AS s, b.source AS t FROM (SELECT DISTINCT final_id, source FROM arafa) a JOIN (SELECT DISTINCT final_id, source FROM arafa) b ON a.final_id = b.final_id AND a.source <> b.source
         UNION SELECT source, resolved_pageid FROM source_verification WHERE resolved_pageid > 0),

@@ -68,31 +68,37 @@ def linked_sources(records: DataFrame, record_id: str, source: str, pages: DataF
     return all_pairs(grouped_entities(records, record_id, source, pages), "component", "source").select(F.col("id_a").alias("source_a"), F.col("id_b").alias("source_b"))
 
 
-def _place(counts: pd.DataFrame, need: dict[str, dict[str, float]]) -> list[str]:
-    """A split for each row of ``counts`` (one column per label, rows in a fixed order). ``need`` is used up."""
-    labels = list(counts.columns)
-    values = counts.to_numpy(dtype=float)
-    size = values.sum(axis=1)
-    left = set(range(len(counts)))
-    out = [""] * len(counts)
-    outstanding = values.sum(axis=0)
-    while left:
-        open_labels = [j for j in range(len(labels)) if outstanding[j] > 0]
-        if not open_labels:  # records without a label
-            todo, j = sorted(left, key=lambda i: -size[i]), None
-        else:
-            j = min(open_labels, key=lambda x: (outstanding[x], labels[x]))
-            todo = sorted((i for i in left if values[i, j] > 0), key=lambda i: (-size[i], i))
-        for i in todo:
-            total = {s: sum(v.values()) for s, v in need.items()}
-            to = max(need, key=lambda s: (need[s][labels[j]] if j is not None else total[s], total[s], s == "train"))
+def _place(items: list[tuple[int, list[tuple[str, int]]]], need: dict[str, dict[str, float]], used: dict[str, dict[str, float]]) -> list[str]:
+    """A split for each component (id, its labels with their records), in a fixed order.
+
+    The label with the fewest records outstanding comes first; its components go, the largest first, to the split
+    that needs that label most. ``need`` (by split and label) says what is needed; ``used`` is reduced by what is placed.
+    """
+    left, out = set(range(len(items))), [""] * len(items)
+    size = [sum(n for _, n in own) for _, own in items]
+    outstanding: dict[str, float] = {}
+    having: dict[str, list[int]] = {}
+    for i, (_, own) in enumerate(items):
+        for lab, n in own:
+            outstanding[lab] = outstanding.get(lab, 0.0) + n
+            having.setdefault(lab, []).append(i)
+    need = {s: dict(x) for s, x in need.items()}
+    total = {s: sum(x.values()) for s, x in need.items()}
+    rest = set(outstanding)
+    while rest:
+        lab = min(rest, key=lambda x: (outstanding[x], x))
+        rest.discard(lab)
+        for i in sorted((i for i in having[lab] if i in left), key=lambda i: (-size[i], i)):
+            to = max(need, key=lambda s: (need[s].get(lab, 0.0), total[s], s == "train"))
             if total[to] < size[i] and max(total.values()) >= size[i]:  # never over a split that is full
                 to = max(need, key=lambda s: total[s])
             out[i] = to
-            for x, lab in enumerate(labels):
-                need[to][lab] -= values[i, x]
-            outstanding -= values[i]
             left.discard(i)
+            total[to] -= size[i]
+            for x, n in items[i][1]:
+                need[to][x] = need[to].get(x, 0.0) - n
+                used[to][x] = used[to].get(x, 0.0) - n
+                outstanding[x] -= n
     return out
 
 
@@ -109,32 +115,42 @@ def stratified_splits(records: DataFrame, record_id: str, source: str, label: st
     rows = records.select(F.col(source).alias("source"), lab.alias("label")).groupBy("source", "label").agg(F.count("*").alias("n"))
     rows = rows.join(ent, "source", "left").withColumn("component", F.coalesce("component", F.lit(-1)))
     per = checkpointed(rows.groupBy("component", "label").agg(F.sum("n").alias("n")))
-    labels = [r[0] for r in per.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(50).collect()]
-    if not labels:
+    totals = per.groupBy("label").agg(F.sum("n").alias("total"))
+    # the labels of a component travel with it as a list, so there may be any number of them
+    wide = checkpointed(per.join(totals, "label").groupBy("component").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("total", "label", "n"))).alias("labels")))
+    everything, count = wide.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    if not count:
         return ent.withColumn("split", F.lit(None).cast("string"))
-    known = F.when(F.col("label").isin(labels[:49]), F.col("label")).otherwise(F.lit(labels[-1]))
-    wide = checkpointed(per.withColumn("label", known).groupBy("component").pivot("label", sorted(labels)).agg(F.sum("n")).na.fill(0))
-    cols = sorted(labels)
-    size = sum((F.col(f"`{c}`") for c in cols), F.lit(0))
-    totals = wide.agg(*(F.sum(f"`{c}`").alias(c) for c in cols), F.count("*").alias("_k")).first()
-    everything = sum(totals[c] for c in cols)
-    need = {s: {c: share * totals[c] for c in cols} for s, share in shares.items()}
-    big = wide.where(size > LARGE * everything).toPandas().sort_values("component").reset_index(drop=True)  # at most 1 / LARGE rows
-    placed = _place(big[cols], need) if len(big) else []
+    big = [(r["component"], [(x["label"], x["n"]) for x in r["labels"]]) for r in wide.where(F.col("size") > LARGE * everything).orderBy("component").collect()]  # at most 1 / LARGE rows
+    need = {s: {} for s in shares}
+    held = {lab for _, own in big for lab, _ in own}
+    for r in totals.collect():  # one row a label
+        for s, share in shares.items():
+            need[s][r["label"]] = share * r["total"]
+    placed = _place(big, {s: {lab: need[s][lab] for lab in held} for s in shares}, need)
     spark = records.sparkSession
-    big_split = spark.createDataFrame(list(zip(big["component"].tolist(), placed, strict=True)), "component bigint, split string")
-    rest = wide.where(size <= LARGE * everything)
-    blocks = max(1, -(-totals["_k"] // BLOCK))
-    over = {s: {c: max(0.0, v) for c, v in x.items()} for s, x in need.items()}
-    left = {c: sum(over[s][c] for s in over) or 1.0 for c in cols}
-    part = {s: {c: over[s][c] / left[c] for c in cols} for s in over}
+    big_split = spark.createDataFrame(list(zip([c for c, _ in big], placed, strict=True)), "component bigint, split string")
+    over = {s: {lab: max(0.0, v) for lab, v in x.items()} for s, x in need.items()}
+    left = {lab: sum(over[s][lab] for s in over) or 1.0 for lab in over["train" if "train" in over else next(iter(over))]}
+    part = {s: {lab: v / left[lab] for lab, v in x.items()} for s, x in over.items()}
+    blocks = max(1, -(-count // BLOCK))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component").reset_index(drop=True)
-        want = {s: {c: part[s][c] * float(pdf[c].sum()) for c in cols} for s in part}
-        return pd.DataFrame({"component": pdf["component"], "split": _place(pdf[cols], want)})
-
-    small = rest.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(blocks))).groupBy("_b").applyInPandas(lambda pdf: block(pdf.drop(columns="_b")), "component bigint, split string")
+        own = [(c, [(x["label"], x["n"]) for x in labels]) for c, labels in sorted(zip(pdf["component"].tolist(), pdf["labels"], strict=True), key=lambda r: r[0])]
+        total: dict[str, float] = {}
+        for _, labels in own:
+            for lab, n in labels:
+                total[lab] = total.get(lab, 0.0) + n
+        want = {s: {lab: part[s].get(lab, shares[s]) * n for lab, n in total.items()} for s in shares}
+        return pd.DataFrame({"component": [c for c, _ in own], "split": _place(own, want, want)})
+
+    small = wide.where(F.col("size") <= LARGE * everything).withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(blocks))).groupBy("_b").applyInPandas(lambda pdf: block(pdf.drop(columns="_b")), "component bigint, split string")
     out = big_split.unionByName(small)
     sources = ent.unionByName(records.where(F.col(source).isNull()).select(F.lit(None).cast("bigint").alias("source"), F.lit(-1).cast("bigint").alias("component")).limit(1))
     return sources.join(out, "component").select("source", "component", "split")
+
+
+def split_classes(records: DataFrame, record_id: str, source: str, pages: DataFrame | None) -> DataFrame:
+    """(source, component, members): each source with the smallest node it is linked with, and how many sources of the records share that."""
+    ent = grouped_entities(records, record_id, source, pages)
+    return ent.join(ent.groupBy("component").agg(F.count("*").alias("members")), "component").select("source", "component", "members")

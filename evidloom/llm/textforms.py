@@ -1,9 +1,9 @@
 """One form for texts that look the same, and the words that comparisons use.
 
 ``base_form`` removes what cannot be seen and unifies what is drawn alike without any corpus;
-``fold`` also replaces look-alike letters one by one and drops letter case, for comparing words.
-``suspicious`` lists the tokens whose scripts are mixed; ``repaired`` gives their script-aware repair,
-which ``lookalikes.py`` accepts only if the corpus has that word.
+``fold`` also writes tokens in one script and drops letter case, for comparing words.
+``suspicious`` lists the tokens whose scripts are mixed with their script-aware ``repairs``, of which
+``lookalikes.py`` accepts the first that the corpus has as a word.
 
 Null counts as the empty text here; callers that must tell the two apart test for null first.
 """
@@ -21,6 +21,7 @@ GREEK_LOOKS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"
 # Persian digits drawn like the Arabic ones.
 DIGIT_LOOKS = dict(zip("۰۱۲۳۷۸۹", "٠١٢٣٧٨٩", strict=True))
 LOOKS = {**CYRILLIC_LOOKS, **GREEK_LOOKS}
+LATIN_LOOKS = frozenset(LOOKS.values())
 
 #: Kinds of compatibility characters that are another print of the same sign.
 _SAME_SIGN = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
@@ -49,7 +50,6 @@ def _signs() -> dict[int, str]:
 
 
 SIGNS = _signs()
-FOLD_SIGNS = SIGNS | {ord(a): b for a, b in LOOKS.items()}
 INVISIBLE = "".join(chr(c) for c, to in SIGNS.items() if to == "" and c < 0x10000)
 
 
@@ -68,7 +68,6 @@ def _cls(cps: list[int]) -> str:
 
 _MARKS = [c for c in range(0x11000) if ud.category(chr(c))[0] == "M" and c not in SIGNS]
 _SIGN = re.compile(f"[{_cls([*SIGNS])}]")
-_FOLD_SIGN = re.compile(f"[{_cls([*FOLD_SIGNS])}]")
 _GAPS = regex.compile(" {2,}")
 _JOINED = regex.compile(r"[یک](?=\p{M}*[ؠآ-ؿف-يٮ-ۓ])")
 #: ``re`` has no marks in its words; the class below is letters, digits and marks.
@@ -102,10 +101,21 @@ def base_form(text: str | None) -> str:
 
 
 def fold(text: str | None) -> str:
-    """The form in which words are compared: base form, look-alikes as one letter, lower case."""
+    """The form in which words are compared: base form, tokens of one script where look-alikes allow it, lower case.
+
+    A token with letters of a foreign alphabet is turned to the text's own one if each of them has a look-alike
+    there, else to the one that it has most letters of. Tokens of a text's own alphabet stay.
+    """
     if not text:
         return ""
-    t = _unify(text, FOLD_SIGNS, _FOLD_SIGN).casefold()
+    t = _unify(text, SIGNS, _SIGN)
+    if _FOREIGN.search(t):
+        main, to = main_script(t), {}
+        for tok in set(_ALPHABETS.findall(t)):
+            if r := turned(tok, main) or next(iter(repairs(tok, main)), None):
+                to[tok] = r
+        t = replace_tokens(t, to)
+    t = t.casefold()
     return t if ud.is_normalized("NFC", t) else ud.normalize("NFC", t)
 
 
@@ -119,10 +129,29 @@ def script_of(ch: str) -> str:
     return "cyrillic" if n.startswith("CYRILLIC") else "greek" if n.startswith("GREEK") else "latin" if n.startswith("LATIN") else "other"
 
 
-def repaired(token: str, text_script: str = "latin") -> str | None:
-    """``token`` in its dominant script, or None if it isn't mixed or a letter has no look-alike.
+def main_script(form: str) -> str:
+    """The alphabet of the letters of a text that no other alphabet has a look-alike of; Latin if there are none."""
+    n = {"latin": 0, "cyrillic": 0, "greek": 0}
+    for tok in _ALPHABETS.findall(form):
+        for ch in tok:
+            s = script_of(ch)
+            if s in n and ch not in LOOKS and ch not in LATIN_LOOKS:
+                n[s] += 1
+    return max(n, key=lambda s: n[s])
+
+
+def turned(token: str, to: str) -> str | None:
+    """The token in one script, or None if a letter of it has no look-alike there, or none needs one."""
+    other = {b: a for a, b in (CYRILLIC_LOOKS if to == "cyrillic" else GREEK_LOOKS).items()} if to != "latin" else {}
+    out = "".join(ch if script_of(ch) in (to, "other") else other.get(LOOKS.get(ch, ch), ch) if other else LOOKS.get(ch, ch) for ch in token)
+    return out if out != token and all(script_of(ch) in (to, "other") for ch in out) else None
+
 
-    A tie, and a token of look-alikes only, go by the script of the text around it.
+def repairs(token: str, text_script: str = "latin") -> list[str]:
+    """What ``token`` may be in one script, the likeliest first: that of most of its letters, that of the text, Latin.
+
+    A token of one script is only turned to the script of the text, if it is foreign to it. Of equal numbers of
+    letters the text's script comes first.
     """
     n = {"latin": 0, "cyrillic": 0, "greek": 0}
     for ch in token:
@@ -130,38 +159,18 @@ def repaired(token: str, text_script: str = "latin") -> str | None:
         if s in n:
             n[s] += 1
     have = [s for s, k in n.items() if k]
-    if not have or (len(have) == 1 and have[0] == text_script):
-        return None
-    if "latin" in have or text_script == "latin":
-        back = "".join(LOOKS.get(ch, ch) for ch in token)
-        if not _FOREIGN.search(back):
-            return back if back != token else None
-    to = max(have, key=lambda s: (n[s], s == text_script))
-    if to != "latin":
-        other = {b: a for a, b in (CYRILLIC_LOOKS if to == "cyrillic" else GREEK_LOOKS).items()}
-        turned = "".join(other.get(ch, ch) if script_of(ch) == "latin" else ch for ch in token)
-        if all(script_of(ch) in (to, "other") for ch in turned):
-            return turned if turned != token else None
-    return None
-
-
-def suspicious(form: str) -> list[tuple[str, str]]:
-    """(token, repaired token) for the tokens of a base form whose letters come from the wrong script."""
+    if not have or have == [text_script]:
+        return []
+    order = [text_script] if len(have) == 1 else [max(have, key=lambda s: (n[s], s == text_script)), text_script, "latin"]
+    return list(dict.fromkeys(r for s in order if (r := turned(token, s)) is not None))
+
+
+def suspicious(form: str) -> list[tuple[str, list[str]]]:
+    """(token, repairs) for the tokens of a base form whose letters come from the wrong script."""
     if not _FOREIGN.search(form):
         return []
-    tokens = _ALPHABETS.findall(form)
-    n = {"latin": 0, "cyrillic": 0, "greek": 0}
-    for t in tokens:
-        for ch in t:
-            s = script_of(ch)
-            if s in n:
-                n[s] += 1
-    main = max(n, key=lambda s: n[s])
-    out = {}
-    for t in tokens:
-        if _FOREIGN.search(t) and t not in out and (r := repaired(t, main)) is not None:
-            out[t] = r
-    return list(out.items())
+    main = main_script(form)
+    return [(t, r) for t in dict.fromkeys(_ALPHABETS.findall(form)) if _FOREIGN.search(t) and (r := repairs(t, main))]
 
 
 def replace_tokens(form: str, to: dict[str, str]) -> str:

@@ -62,6 +62,8 @@ def test_leaks(spark, monkeypatch, most):
     found = leakage.leaked(docs, "doc_id", "text", items, "item_id", "text")
     want = {(1, 1), (1, 2), (3, 6), (6, 6), (6, 1), (6, 2), (7, 6)}
     assert {(r.doc, r.item) for r in found.select("doc", "item").distinct().collect()} == want
+    spans = {(1, 1, 1, 10), (1, 2, 1, 10), (3, 6, 0, 9), (3, 6, 11, 20), (6, 6, 0, 19), (6, 1, 21, 30), (6, 2, 21, 30), (7, 6, 50_000, 50_010)}
+    assert {tuple(r) for r in found.collect()} == spans
     assert {(r.item_id, r.documents) for r in leakage.item_report(found, items, "item_id").collect()} == {(1, 2), (2, 2), (3, 0), (4, 0), (5, 0), (6, 3)}
     assert leakage.leaked(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leakage.leaked(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0

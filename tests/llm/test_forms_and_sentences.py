@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from evidloom.llm import lookalikes, pieces, sentences
 from evidloom.llm.sentences import Model, boundaries, posteriors, spans
-from evidloom.llm.textforms import base_form, fold, repaired, suspicious, words
+from evidloom.llm.textforms import base_form, fold, repairs, suspicious, words
 
 
 
@@ -57,11 +57,18 @@ def test_unseen_differences_fold_away():
 
 
 def test_only_mixed_tokens_are_repaired():
-    assert repaired("Lіаrgа") == "Liarga"
-    assert repaired("сор", "cyrillic") is None
-    assert repaired("plain") is None
+    assert repairs("Lіаrgа") == ["Liarga"]
+    assert repairs("сор", "cyrillic") == [] and repairs("сор", "latin") == ["cop"]
+    assert repairs("cор", "cyrillic") == ["сор", "cop"]  # most of its letters are Cyrillic
+    assert repairs("аrе", "latin") == ["are"] and repairs("plain") == []
     assert suspicious("слово и дело") == []
-    assert dict(suspicious("the nаme of а rose")) == {"nаme": "name", "а": "a"}
+    assert dict(suspicious("the nаme of а rose")) == {"nаme": ["name"], "а": ["a"]}
+    assert dict(suspicious("жить в лесу cор дядя")) == {"cор": ["сор", "cop"]}
+
+
+def test_words_are_compared_in_the_script_of_their_text():
+    assert words("сор из избы дядя") != words("cop") and words("cор из избы дядя")[0] == words("сор из избы дядя")[0]
+    assert words("the сор said") == ["the", "cop", "said"] and words("قال Сор هنا") == words("قال Cop هنا")
 
 
 @settings(max_examples=200, deadline=None)

@@ -30,8 +30,8 @@ from evidloom.session import spread
 WINDOW, BITS, LEAST, MOST = 16, 9, 192, 4096
 #: A worker forgets its encoded pre-tokens, and a partition its chunks, when it holds so many.
 PIECES, CHUNKS = 400_000, 20_000
-#: A sure boundary of pre-tokens: a letter, then a space, then a letter; no pre-token holds both sides.
-_SURE = regex.compile(r"(?<=\p{L})(?= \p{L})")
+#: A sure boundary of pre-tokens: a letter, then a space and a letter, or a mark of the scripts without spaces; no pre-token holds both sides.
+_SURE = regex.compile(r"(?<=\p{L})(?= \p{L}|[。！？，、；：「」『』（）])")
 TOKENIZERS = "/opt/tokenizers"
 
 
@@ -70,6 +70,12 @@ class Encoder:
     def text(self, ids: np.ndarray) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids.tolist()])
 
+    def merged(self, parts: list[bytes]) -> bytes:
+        """The packed ids of a text from those of its parts in order, joined two by two: each is re-encoded a logarithmic number of times at most."""
+        while len(parts) > 1:
+            parts = [self.joined(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
     def joined(self, left: bytes, right: bytes) -> bytes:
         """The packed ids of a text from those of its two parts, equal to encoding it whole."""
         a, b = np.frombuffer(left, np.uint16), np.frombuffer(right, np.uint16)
@@ -160,9 +166,9 @@ def _rolling(c: np.ndarray) -> np.ndarray:
 def encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, ids): the token ids of each row's text, exactly those of encoding it whole, without special tokens.
 
-    Texts that are null or empty have an empty list. Strings of special tokens are ordinary text. Rows with the
-    same id must have the same text (their chunks would mix otherwise); repeated rows come out once. Other
-    columns play no part. The vocabulary must have fewer than 65,536 ids.
+    Texts that are null or empty have an empty list. Strings of special tokens are ordinary text. Repeated rows
+    come out once; an id with several texts has a row for each. Other columns play no part. The vocabulary must
+    have fewer than 65,536 ids.
     """
     ranks = os.path.join(folder, f"{tokenizer}.tiktoken")
     src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
@@ -170,30 +176,31 @@ def encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bp
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, seq, digest, chunk = [], [], [], []
+            who, own, seq, digest, chunk = [], [], [], [], []
             for r, t in enumerate(b.column(1).to_pylist()):
-                last = 0
+                last, whole = 0, xxhash.xxh3_64_intdigest(t.encode()) if t else 0
                 for k, end in enumerate(cuts(t) if t else [0]):
                     piece = (t or "")[last:end]
                     who.append(r)
+                    own.append(whole)
                     seq.append(k)
                     digest.append(xxhash.xxh3_64_intdigest(piece.encode()) if piece else 0)
                     chunk.append(piece)
                     last = end
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int32())), pa.array(seq, pa.int32()), pa.array(np.array(digest, dtype=np.uint64).view(np.int64)), pa.array(chunk, pa.string())], ["id", "seq", "digest", "chunk"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int32())), pa.array(np.array(own, dtype=np.uint64).view(np.int64)), pa.array(seq, pa.int32()), pa.array(np.array(digest, dtype=np.uint64).view(np.int64)), pa.array(chunk, pa.string())], ["id", "text", "seq", "digest", "chunk"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, done = Encoder(ranks), {}
         for b in batches:
             out = []
-            for d, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for d, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 have = done.get(d)
                 if have is None or have[0] != c:
                     if len(done) >= CHUNKS:
                         done.clear()
                     have = done[d] = (c, enc.packed(c))
                 out.append(have[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "seq", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["id", "text", "seq", "packed"])
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
@@ -206,19 +213,14 @@ def encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bp
                 own = packed[off[r] : off[r + 1]]
                 if len(own) > 1:
                     enc = enc or Encoder(ranks)
-                    whole = own[0]
-                    for nxt in own[1:]:
-                        whole = enc.joined(whole, nxt)
-                    out.append(whole)
-                else:
-                    out.append(own[0])
+                out.append(enc.merged(own) if len(own) > 1 else own[0])
             ids = np.frombuffer(b"".join(out), np.uint16).astype(np.int32)
             offsets = np.zeros(len(out) + 1, np.int32)
             np.cumsum([len(x) // 2 for x in out], out=offsets[1:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "ids"])
 
-    chunks = src.mapInArrow(chunked, f"id {kind}, seq int, digest bigint, chunk string")
+    chunks = src.mapInArrow(chunked, f"id {kind}, text bigint, seq int, digest bigint, chunk string")
     by_digest = chunks.hint("rebalance", "digest")
-    codes = by_digest.mapInArrow(encode, f"id {kind}, seq int, packed binary")
-    docs = codes.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("seq", "packed"))).alias("parts"))
+    codes = by_digest.mapInArrow(encode, f"id {kind}, text bigint, seq int, packed binary")
+    docs = codes.groupBy("id", "text").agg(F.sort_array(F.collect_set(F.struct("seq", "packed"))).alias("parts")).drop("text")
     return docs.mapInArrow(repaired, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")

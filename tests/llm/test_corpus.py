@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -45,6 +46,25 @@ def test_encoded_equals_the_library(spark):
     assert encode.encoded(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_an_id_with_two_texts_has_both(spark):
+    df = spark.createDataFrame([(1, "one text"), (1, "another " * 400), (1, "one text")], "doc_id long, text string")
+    got = sorted(list(r.ids) for r in encode.encoded(df, "doc_id", "text").collect())
+    assert got == sorted([BPE.encode_ordinary("one text"), BPE.encode_ordinary("another " * 400)])
+
+
+def test_joins_of_unspaced_text_stay_near_linear():
+    rng = random.Random(6)
+    took = []
+    for n in (20_000, 80_000):
+        t = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+        parts = [ENC.packed(t[a:b]) for a, b in zip([0, *encode.cuts(t)], encode.cuts(t))]
+        began = time.perf_counter()
+        got = ENC.merged(parts)
+        took.append(time.perf_counter() - began)
+        assert np.frombuffer(got, np.uint16).tolist() == BPE.encode_ordinary(t)
+    assert took[1] < 10 * took[0] + 0.2, took
+
+
 def items_and_docs(spark):
     w = [f"w{i}" for i in range(60)]
     items = [(1, " ".join(w[:12])), (2, " ".join(w[:12])), (3, "too short here"), (4, None), (5, ""), (6, " ".join(w[20:40]))]

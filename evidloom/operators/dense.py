@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from evidloom.functions.text import tokens
 
 #: Queries of a block: the only matrix that a task holds besides a batch of vectors.
 BLOCK = 1024
@@ -70,6 +74,72 @@ def _pass(vectors: DataFrame, vector_id: str, embedding: str, ids: np.ndarray, m
     return vectors.select(vector_id, embedding).mapInArrow(run, "q bigint, id bigint, score double")
 
 
+#: Dimensions of hashed vectors, and vectors or queries of one block of a scope.
+DIMENSIONS, SCOPE_BLOCK = 64, 256
+
+
+def hashed(t: Column | str) -> Column:
+    """A text as a unit vector without a trained encoder: each token adds 1 or -1 to one of DIMENSIONS by its MD5.
+
+    A text without tokens has the zero vector.
+    """
+    return _hashed(tokens(t))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hashed(lists: pd.Series) -> pd.Series:
+    known: dict[str, tuple[int, int]] = {}
+    out = []
+    for own in lists:
+        v = np.zeros(DIMENSIONS)
+        for t in own if own is not None else ():
+            if t not in known:
+                h = hashlib.md5(t.encode()).hexdigest()
+                known[t] = int(h[:2], 16) % DIMENSIONS, 1 if h[2] < "8" else -1
+            d, sign = known[t]
+            v[d] += sign
+        n = np.sqrt((v * v).sum())
+        out.append(v / n if n else v)
+    return pd.Series(out)
+
+
+def rank_in_scope(queries: DataFrame, items: DataFrame, query: str, scope: str, item: str, tie: str, vector: str, k: int = 50) -> DataFrame:
+    """(query, scope, item, tie, score, rk): each query's k items of its own scope by inner product, ties by the larger ``tie``.
+
+    ``queries`` has query (bigint), scope and vector, ``items`` scope, item, tie (int) and vector. Queries and
+    items of a scope come in blocks of about SCOPE_BLOCK, so a scope of any size is spread over many tasks; two
+    blocks meet as one matrix product, of which only k items a query leave. Null vectors and scopes are left out.
+    """
+
+    def blocks(df: DataFrame, by: str, cols: list[str], name: str) -> DataFrame:
+        d = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull())
+        n = d.groupBy(scope).agg(F.ceil(F.count("*") / SCOPE_BLOCK).cast("int").alias("_n"))
+        d = d.join(n, scope).withColumn("_b", F.pmod(F.xxhash64(by), F.col("_n")))
+        return d.groupBy(scope, "_b").agg(*(F.collect_list(c).alias(f"{name}_{c}") for c in cols)).drop("_b")
+
+    q = blocks(queries.select(F.col(query).alias("query"), scope, vector), "query", ["query", vector], "q")
+    i = blocks(items.select(F.col(item).alias("item"), F.col(tie).alias("tie"), scope, vector), "item", ["item", "tie", vector], "i")
+    kinds = dict(items.dtypes)
+    met = q.join(i, scope).select(scope, "q_query", f"q_{vector}", "i_item", "i_tie", f"i_{vector}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                own, qs, qv, it, ti, iv = (b.column(c)[r].as_py() for c in range(6))
+                s = np.round(np.array(qv) @ np.array(iv).T, 6) + 0.0
+                tie_ = np.broadcast_to(np.array(ti), s.shape)
+                best = np.lexsort((-tie_, -s), axis=1)[:, :k]
+                who, at = np.repeat(np.arange(len(qs)), best.shape[1]), best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([qs[w] for w in who], pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array([it[a] for a in at], pa.string()), pa.array([ti[a] for a in at], pa.int32()), pa.array(s[who, at])], ["query", "scope", "item", "tie", "score"])
+
+    if kinds[item] != "string":
+        raise ValueError("items are told by strings")
+    got = met.mapInArrow(run, "query bigint, scope bigint, item string, tie int, score double")
+    w = Window.partitionBy("query", "scope").orderBy(F.desc("score"), F.desc("tie"))
+    got = got.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return got.select(F.col("query").alias(query), F.col("scope").alias(scope), F.col("item").alias(item), F.col("tie").alias(tie), "score", "rk")
+
+
 def fused(lists: list[DataFrame], query: str, item: str, rank: str = "rk", k: int = 10, c: int = 60) -> DataFrame:
     """(query, item, score, rk): reciprocal rank fusion, the sum of 1 / (c + rank) over the lists.
 

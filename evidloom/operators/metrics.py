@@ -14,9 +14,14 @@ def recall_aggs(rank: str = "rank", ks: tuple[int, ...] = (1, 5, 10), suffix: st
     return [*(hit(k) for k in ks), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col(rank), F.lit(0.0))), 4).alias(f"mrr{suffix}")]
 
 
-def retrieval_metrics(ranks: DataFrame, by: list[str] | None = None, rank: str = "rank") -> DataFrame:
+def retrieval_metrics(ranks: DataFrame, by: list[str] | None = None, rank: str = "rank", ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     g = ranks.groupBy(*by) if by else ranks.groupBy()
-    return g.agg(F.count("*").alias("n"), *recall_aggs(rank))
+    return g.agg(F.count("*").alias("n"), *recall_aggs(rank, ks))
+
+
+def relaxed_metrics(ranks: DataFrame) -> DataFrame:
+    """Recalls and MRR of the strict ranks and of those relaxed by IoU, side by side."""
+    return ranks.agg(F.count("*").alias("n"), *recall_aggs("rank"), *recall_aggs("rank_relaxed", suffix="_relaxed"))
 
 
 def breakdown(ranks: DataFrame, rank: str = "rank") -> DataFrame:

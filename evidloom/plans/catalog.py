@@ -438,6 +438,44 @@ def bm25_relaxed_ranks(s: SparkSession, d: str) -> DataFrame:
     return metrics.ranks_of(lexical.rank_in_document(loc, chunks(s, d), "final_id", "claim"), loc, "final_id")
 
 
+@query
+def bm25_relaxed_metrics(s: SparkSession, d: str) -> DataFrame:
+    return metrics.relaxed_metrics(bm25_relaxed_ranks(s, d))
+
+
+@query
+def bm25_recall_gate(s: SparkSession, d: str) -> DataFrame:
+    """How often the gold chunk is among the first 50: what a reranker of those can reach at most."""
+    return metrics.retrieval_metrics(lexical.gold_ranks(located(s, d), chunks(s, d), "final_id", "claim", k=50), ks=(50,))
+
+
+def _dense_in_article(s: SparkSession, d: str) -> DataFrame:
+    vector = lambda df, c: df.withColumn("v", dense.hashed(c))
+    q = located(s, d).where(F.size(T.tokens("claim")) > 0).select("final_id", "source", "claim").distinct()
+    return dense.rank_in_scope(vector(q, "claim"), vector(chunks(s, d).select("source", "ord", "chunk_id", "text"), "text"), "final_id", "source", "chunk_id", "ord", "v")
+
+
+@query
+def dense_in_article(s: SparkSession, d: str) -> DataFrame:
+    """Each claim's 10 nearest chunks of its article by hashed vectors; a trained encoder's come in the same way."""
+    return _dense_in_article(s, d).where("rk <= 10").select("final_id", "source", "chunk_id", "score", "rk")
+
+
+@query
+def dense_in_article_metrics(s: SparkSession, d: str) -> DataFrame:
+    return metrics.relaxed_metrics(metrics.ranks_of(_dense_in_article(s, d), located(s, d), "final_id"))
+
+
+@query
+def hybrid_dense_metrics(s: SparkSession, d: str) -> DataFrame:
+    """BM25 and dense lists of 50 fused by reciprocal rank, and where the gold chunk stands in the fused list."""
+    loc = located(s, d)
+    key = lambda x: x.withColumn("qid", F.concat_ws(":", F.col("final_id").cast("string"), F.col("source").cast("string")))
+    f = dense.fused([key(lexical.rank_in_document(loc, chunks(s, d), "final_id", "claim", k=50)), key(_dense_in_article(s, d))], "qid", "chunk_id", k=50)
+    r = key(loc).select("qid", F.col("gold_chunk_id").alias("chunk_id")).join(f, ["qid", "chunk_id"], "left").withColumnRenamed("rk", "rank")
+    return metrics.retrieval_metrics(r)
+
+
 @query
 def metric_breakdown(s: SparkSession, d: str) -> DataFrame:
     loc = located(s, d)

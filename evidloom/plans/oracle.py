@@ -249,3 +249,35 @@ SQL |= {
     "rrf_fusion": f"{_FUSED} SELECT qid, chunk_id, score, rk::INTEGER AS rk FROM fu WHERE rk <= 10",
     "hybrid_metrics": f"{_FUSED}, r AS (SELECT l.final_id, fu.rk AS rank FROM located l LEFT JOIN fu ON fu.qid = l.final_id || ':' || l.source AND fu.chunk_id = l.gold_chunk_id AND fu.rk <= 10) SELECT count(*) AS n, {recalls()} FROM r",
 }
+
+RELAXED = SQL["bm25_relaxed_ranks"]
+
+
+def relaxed(ranks_sql: str) -> str:
+    near = recalls("rank_relaxed")
+    for name in ("recall_at_10", "recall_at_1,", "recall_at_5", "mrr"):
+        bare = name.rstrip(",")
+        near = near.replace(f"AS {name}", f"AS {bare}_relaxed" + name[len(bare) :])
+    return f"SELECT count(*) AS n, {recalls()}, {near} FROM ({ranks_sql})"
+
+
+_DENSE = f"""WITH {CHUNKS}, {LOCATED},
+  qh AS (SELECT final_id, source, md5(t) h FROM (SELECT final_id, source, unnest({toks('claim')}) t FROM located)), ch AS (SELECT source, ord, chunk_id, md5(t) h FROM (SELECT source, ord, chunk_id, unnest({toks('text')}) t FROM chunks)),
+  qd AS (SELECT final_id, source, ('0x' || substr(h, 1, 2))::INTEGER % 64 d, sum(CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE v FROM qh GROUP BY ALL),
+  cd AS (SELECT source, ord, chunk_id, ('0x' || substr(h, 1, 2))::INTEGER % 64 d, sum(CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE v FROM ch GROUP BY ALL),
+  qn AS (SELECT final_id, source, sqrt(sum(v * v)) n FROM qd GROUP BY ALL), cn AS (SELECT source, ord, chunk_id, sqrt(sum(v * v)) n FROM cd GROUP BY ALL),
+  dots AS (SELECT final_id, source, ord, chunk_id, sum(qd.v * cd.v) s FROM qd JOIN cd USING (source, d) GROUP BY ALL),
+  sims AS (SELECT q.final_id, q.source, c.ord, c.chunk_id, CASE WHEN coalesce(q.n, 0) = 0 OR coalesce(cn.n, 0) = 0 THEN 0.0 ELSE round(coalesce(dots.s, 0) / (q.n * cn.n), 6) END::DOUBLE + 0.0 score
+    FROM qn q JOIN chunks c USING (source) LEFT JOIN cn USING (source, ord, chunk_id) LEFT JOIN dots USING (final_id, source, ord, chunk_id)),
+  dk AS (SELECT *, row_number() OVER (PARTITION BY final_id, source ORDER BY score DESC, ord DESC) rk FROM sims)"""
+_DENSE_RANKS = f"""{_DENSE}, x AS (SELECT l.final_id, l.source, l.gold_chunk_id, r.chunk_id, r.rk, {iou('r.chunk_id', 'l.gold_chunk_id')} io FROM located l LEFT JOIN dk r ON r.final_id = l.final_id AND r.source = l.source AND r.rk <= 50)
+  SELECT final_id, source, gold_chunk_id, min(rk) FILTER (chunk_id = gold_chunk_id) AS rank, coalesce(min(rk) FILTER (chunk_id = gold_chunk_id), min(rk) FILTER (io >= 0.5)) AS rank_relaxed FROM x GROUP BY ALL"""
+SQL |= {
+    "bm25_relaxed_metrics": relaxed(RELAXED),
+    "bm25_recall_gate": f"WITH {CHUNKS}, {LOCATED}, {ranks()} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 50 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS recall_at_50, round(avg(coalesce(1.0::DOUBLE / rank, 0.0)), 4) AS mrr FROM ranks",
+    "dense_in_article": f"{_DENSE} SELECT final_id, source, chunk_id, score, rk::INTEGER AS rk FROM dk WHERE rk <= 10",
+    "dense_in_article_metrics": relaxed(_DENSE_RANKS),
+    "hybrid_dense_metrics": f"""{_DENSE}, {bm25('claim')}, u AS (SELECT final_id, source, chunk_id, rk, 0 l FROM rk WHERE rk <= 50 UNION ALL SELECT final_id, source, chunk_id, rk, 1 FROM dk WHERE rk <= 50),
+      f AS (SELECT final_id, source, chunk_id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rk)), 9) score, min((l, rk)) fst FROM u GROUP BY ALL), fu AS (SELECT *, row_number() OVER (PARTITION BY final_id, source ORDER BY score DESC, fst) rk FROM f),
+      r AS (SELECT fu.rk AS rank FROM located l LEFT JOIN fu ON fu.final_id = l.final_id AND fu.source = l.source AND fu.chunk_id = l.gold_chunk_id AND fu.rk <= 50) SELECT count(*) AS n, {recalls()} FROM r""",
+}

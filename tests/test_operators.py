@@ -188,6 +188,28 @@ def test_dense_equals_brute_force(spark):
         assert got[q] == [j for j in sorted(range(120), key=lambda j: (-s[j], j)) if j != q][:5]
 
 
+def test_rank_in_scope_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "SCOPE_BLOCK", 4)
+    rng = np.random.default_rng(1)
+    vec = lambda: [float(x) for x in rng.integers(-3, 4, 5)]
+    q = [(i, i % 2, vec()) for i in range(11)] + [(50, None, vec()), (51, 1, None), (52, 9, vec())]
+    it = [(i % 2, i, f"c{i}", vec()) for i in range(23)]
+    got = {}
+    df = spark.createDataFrame(it, "source long, ord int, chunk_id string, v array<double>")
+    for r in dense.rank_in_scope(spark.createDataFrame(q, "id long, source long, v array<double>"), df, "id", "source", "chunk_id", "ord", "v", k=6).orderBy("rk").collect():
+        got.setdefault(r.id, []).append((r.ord, r.score))
+    want = {i: sorted(((o, float(np.dot(v, w))) for s, o, _, w in it if s == src), key=lambda x: (-x[1], -x[0]))[:6] for i, src, v in q if i < 50}
+    assert got == want
+
+
+def test_hashed_vectors(spark):
+    rows = [(1, "one two two"), (2, ""), (3, None), (4, "two one two")]
+    v = {r.id: r.v for r in spark.createDataFrame(rows, "id long, t string").select("id", dense.hashed("t").alias("v")).collect()}
+    assert v[1] == v[4] and abs(sum(x * x for x in v[1]) - 1) < 1e-12 and not any(v[2]) and not any(v[3])
+
+
 def test_fusion_ties(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "q long, d string, rk int")
     b = spark.createDataFrame([(1, "y", 1), (1, "x", 2), (1, "z", 3)], "q long, d string, rk int")

@@ -99,6 +99,36 @@ def test_sets_with_one_index_key_stay_apart(spark, monkeypatch):
     assert set(got) <= want and {p for p in want if set(texts[p[0]].split()) == set(texts[p[1]].split())} <= set(got)
 
 
+def test_pairs_that_merely_meet_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(150)], 40)) for _ in range(900)]
+    texts += [t.replace(t.split()[0], "new") for t in texts[:20]]
+    seen, real = [], nearset.candidate_pairs
+    monkeypatch.setattr(nearset, "candidate_pairs", lambda *x: seen.append(real(*x)) or seen[-1])
+    got = nearset.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"], 0.7).count()
+    n = sum(c.count() for c in seen)
+    assert got == 20 and n <= 40, n
+
+
+def test_slices_give_the_same_pairs_and_leave_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(nearset, "SLICE", 500, raising=False)
+    texts = records(8, 200)
+    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(texts), 2) if likeness(a, b) >= 0.7 - 1e-12}
+    spark.catalog.clearCache()
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    got = [tuple(r) for r in nearset.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", ["t"], 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    assert len(set(spark.sparkContext._jsc.getPersistentRDDs()) - before) <= 1  # the members of alike sets
+
+
+def test_signatures_go_by_all_their_words():
+    need, rare = 8, np.array([3, 3, 3, 6, 6, 8, 1], np.int64)
+    rec, cover = np.repeat([0, 1, 2, 3], [3, 2, 1, 1]), np.zeros(4)
+    at = lambda d: nearset._allocated(np.arange(7, dtype=np.uint64), rec, rare, np.ones(4, bool), 1, 100, cover, need, d)
+    assert at(False)[0][1].tolist() == [0, 1, 2] and cover.tolist() == [1, 1, 1, 0]
+    assert at(True)[0][1].tolist() == []
+
+
 def test_classes_of_near_duplicates(spark):
     rows = [(1, "a b c d"), (2, "D c b A"), (3, "a b c d"), (4, "a b c d e"), (5, "z"), (6, None)]
     got = {r.id: (r["class"], r.copy_of, r.members, r.links) for r in nearset.near_duplicate_classes(spark.createDataFrame(rows, "id long, t string"), "id", ["t"]).collect()}

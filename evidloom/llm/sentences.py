@@ -9,9 +9,9 @@ their shape, unseen pairs to their words. Counts live in tables of a fixed numbe
 are in them, whatever the corpus, and the model has one size.
 
 A text's places get the log odds of their n-grams, neighbours are tied by what only the event before explains (a
-list's number, a quotation that opens a sentence), and forward-backward posteriors decide. A stretch without
-boundaries, longer than the corpus's sentences are, has lost its marks: there every gap between words (characters,
-in scripts that write no spaces) is a place, and the n-grams alone decide.
+list's number, a quotation that opens a sentence), and forward-backward posteriors decide. Between the marks every gap
+between words (characters, in scripts that write no spaces) is a place too, in every text: the n-grams decide, and how
+likely a mark is lost there, by the text's own boundaries with marks and without.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ _FIGURE = re.compile(r"[\d٠-٩۰-۹][\d٠-٩۰-۹.,٫٬/%٪-]*$")
 #: Characters of scripts that write no spaces between words: kana, Han, Thai.
 _DENSE_CLASS = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaffก-๛"
 _DENSE = re.compile(f"[{_DENSE_CLASS}]")
+_WORD = re.compile(r"\S+")
 _DENSE_RUN = re.compile(f"[{_DENSE_CLASS}]+")
 _SENTENCE_MARKS = re.compile(f"[{_T}]+[{re.escape(_C)}]*(?=\\s|$|[{_DENSE_CLASS}])|(?<=[ก-๛])[^\\S\n]+(?=[ก-๛])|\n+")
 _SAID = re.compile(r"(?:^|[.!?؟۔।][\"»”]?\s+)[«“\"][^«“»”\"\n]+?[.!?؟۔।،,][»”\"]\s+(\w+)")
@@ -62,8 +63,6 @@ DEPTH, CELLS = 2, 1 << 17
 KINDS = ("dot", "bare", "began", "said", "ended", "pair", "types")
 #: Shapes of words: number, with a dot inside, and by length.
 SHAPES = 8
-#: Share of the corpus's sentences beyond whose length a stretch counts as without marks, and by how much it must exceed it.
-LONGEST, BEYOND = 1e-3, 1.5
 #: Log odds against a word's being a verb of saying, before it is seen after quotations.
 VERB = 3.5
 
@@ -110,10 +109,10 @@ class Model:
     quoted: dict[bool, tuple[float, float]] = field(default_factory=lambda: {False: (0.0, 0.0), True: (0.0, 0.0)})
     alone: float = -2 * SURE
     ellipsis: tuple[float, float] = (3.0, -8.0)
-    longest: dict[bool, float] = field(default_factory=lambda: {False: 60.0, True: 200.0})
 
     def __post_init__(self) -> None:
         self.seen: dict[tuple[str, str], float] = {}
+        self.sides: dict[str, tuple[float, float]] = {}
 
     def count(self, kind: str, w: str) -> float:
         """How often the word was seen in that place, or a little more."""
@@ -146,19 +145,53 @@ class Model:
         new, other = self.quoted[_DENSE.match(w) is not None]
         return report_odds(said, new * (self.count("began", w) + 0.5) / (other + 1.0)) if said and new else SURE
 
+    def ends(self, w: str) -> float:
+        """P(boundary after the word), stops of abbreviations left out; a number's are a list's or a date's as well, so its shape decides."""
+        c = self.count("dot", w) + self.count("bare", w)
+        if shape(w) < 2:
+            return min(0.95, self.stop_rate)
+        ended = self.count("ended", w)
+        if ended and self.count("dot", w):
+            ended /= 1 + math.exp(-self.before(w))
+        return min(0.95, (ended + 2 * self.stop_rate) / (c + 2))
+
     def gap(self, left: str, right: str) -> float:
         """Log odds of a boundary between two words without any mark."""
         n = self.totals.get("words", 0.0) + 1.0
         c = lambda w: self.count("dot", w) + self.count("bare", w)
         p_right = (c(right) + 0.1) / n
-        end = (self.count("ended", left) + 2 * self.stop_rate) / (c(left) + 2)
+        end = self.ends(left)
         begin = (self.count("began", right) + 2 * p_right) / (self.totals.get("began", 0.0) + 2)
         types = self.count("types", left) + 1  # as many new pairs are to be expected as there were (Witten-Bell)
         inside = (self.count("pair", f"{left} {right}") + types * p_right) / (c(left) + types)
-        end = min(0.95, end)
         return math.log(end * begin) - math.log((1 - end) * inside)
 
 
+    def bounds(self, w: str) -> tuple[float, float]:
+        """The word's parts, as the left and as the right one, of the most that ``gap`` can be: its odds had the pair not been seen."""
+        got = self.sides.get(w)
+        if got is None:
+            if len(self.sides) > 200_000:
+                self.sides.clear()
+            c, types = self.count("dot", w) + self.count("bare", w), self.count("types", w) + 1
+            end = self.ends(w)
+            p = (c + 0.1) / (self.totals.get("words", 0.0) + 1.0)
+            begin = (self.count("began", w) + 2 * p) / (self.totals.get("began", 0.0) + 2)
+            got = self.sides[w] = (math.log(end / (1 - end) * (c + types) / types), math.log(begin / p))
+        return got
+
+    def possible(self, ws: list[str]) -> bool:
+        """Whether the gap between any two neighbours may have odds above 0, by their bounds."""
+        get, bounds = self.sides.get, self.bounds
+        b = [get(w) or bounds(w) for w in ws]
+        return any(x[0] + y[1] > -1e-6 for x, y in zip(b, b[1:]))
+
+    def likely(self, pairs: list[tuple[str, str]]) -> int:
+        """How many of the gaps between two words have odds above 0; few are computed, by their bounds."""
+        b, gap = self.bounds, self.gap
+        return sum(1 for x, y in pairs if b(x)[0] + b(y)[1] > -1e-6 and gap(x, y) > 0)
+
+
 def _class(ch: str) -> str:
     return "digit" if ch.isdigit() else "lower" if ch.islower() else "upper" if ch.isupper() else "other"
 
@@ -282,31 +315,53 @@ def units(text: str, a: int, e: int) -> tuple[bool, list[tuple[int, int]]]:
     """(dense, spans) of the words of a part of a text; of its characters, if most of it is in a script without spaces."""
     dense = sum(m.end() - m.start() for m in _DENSE_RUN.finditer(text, a, e)) > (e - a) // 2
     if not dense:
-        return False, [m.span() for m in re.compile(r"\S+").finditer(text, a, e)]
+        return False, [m.span() for m in _WORD.finditer(text, a, e)]
     return True, [(i, i + 1) for i in range(a, e) if not text[i].isspace()]
 
 
-def _unmarked(text: str, model: Model, a: int, e: int) -> list[int]:
-    """Boundaries within a stretch that is longer than sentences are: every gap without a mark is a place."""
+def _unmarked(text: str, a: int, e: int) -> tuple[list[int], list[tuple[str, str]]]:
+    """The places of a stretch between marks, every gap: ends, and the words (pairs of characters) around each."""
     dense, own = units(text, a, e)
-    if len(own) <= BEYOND * model.longest[dense] or not model.totals:
-        return []
-    ends, unary, tied = [], [], []
+    ends, pairs = [], []
     if dense:
         for k in range(2, len(own) - 1):
             i = own[k][0]
             left, right = text[own[k - 2][0] : i], text[i : own[k + 1][1]]
             if len(left) == 2 and len(right) == 2 and _DENSE.match(left[1]) and _DENSE.match(right[0]):
                 ends.append(i)
-                unary.append(max(-SURE, min(SURE, model.gap(left, right))))
+                pairs.append((left, right))
     else:
-        bare = [_HIDDEN.sub("", text[x:y]) for x, y in own]
+        bare = [text[x:y] for x, y in own]
+        if _HIDDEN.search(text, a, e):
+            bare = [_HIDDEN.sub("", w) for w in bare]
         for k in range(len(own) - 1):
             if bare[k][-1:].isalnum() and bare[k + 1][:1].isalnum():
                 ends.append(own[k][1])
-                unary.append(max(-SURE, min(SURE, model.gap(bare[k], bare[k + 1]))))
-    tied = [0.0, *(model.alone / 4 if y - x <= 2 or " " not in text[x + 1 : y].strip() else 0.0 for x, y in zip(ends, ends[1:]))] if ends else []
-    return [x for x, p in zip(ends, posteriors(unary, tied), strict=True) if p > 0.5]
+                pairs.append((bare[k], bare[k + 1]))
+    return ends, pairs
+
+
+def _lost(text: str, model: Model, keep: list[int], marked: int) -> list[int]:
+    """Boundaries whose marks are lost, of a text with ``marked`` others; ``keep`` are the ends of its stretches.
+
+    No tie raises a place's odds, so a stretch of which no gap has odds above 0 has none.
+    """
+    found, missing, at = [], 0, 0
+    for e in keep:
+        a, at, part = at, e, text[at:e]
+        if not _DENSE.search(part) and not model.possible((part if part.isascii() else _HIDDEN.sub("", part)).split()):
+            continue
+        ends, pairs = _unmarked(text, a, e)
+        if n := model.likely(pairs):
+            found.append((a, e, ends, pairs))
+            missing += n
+    out, lost = [], math.log((missing - 0.5) / (marked + missing)) if missing else 0.0  # by the other boundaries, and half a one of either kind
+    for a, e, ends, pairs in found:
+        unary = [max(-SURE, min(SURE, model.gap(x, y) + lost)) for x, y in pairs]
+        tied = [model.alone / 4 if y - x <= 2 or " " not in text[x + (x > a) : y].strip() else 0.0 for x, y in zip([a, *ends], [*ends, e])]
+        unary[-1] += tied.pop()  # a boundary ends the stretch, as one begins it
+        out += [x for x, p in zip(ends, posteriors(unary, tied), strict=True) if p > 0.5]
+    return out
 
 
 def boundaries(text: str | None, model: Model) -> list[int]:
@@ -323,15 +378,12 @@ def boundaries(text: str | None, model: Model) -> list[int]:
         return []
     ends, unary, tied = _places(text, model, stop)
     keep = [e for e, p in zip(ends, posteriors(unary, tied), strict=True) if p > 0.5]
+    marked = len(keep)
     if not keep or keep[-1] != stop:
         keep.append(stop)
-    out, at, least = [], 0, BEYOND * min(model.longest.values())
-    for e in keep:
-        if e - at > least:
-            out += _unmarked(text, model, at, e)
-        out.append(e)
-        at = e
-    return out
+    if model.totals and (lost := _lost(text, model, keep, marked)):
+        keep = sorted(keep + lost)
+    return keep
 
 
 def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -405,8 +457,8 @@ def observe(text: str, c: Counter, lengths: Counter) -> None:
         e = m.start() if m else len(text)
         if e > at:
             dense, own = units(text, at, e)
-            if own:
-                lengths["dense" if dense else "spaced_words", str(len(own))] += 1
+            if own and not dense:
+                lengths["spaced_words", str(len(own))] += 1
         at = m.end() if m else e
 
 
@@ -503,16 +555,6 @@ def estimated(seen: dict[str, dict[str, int]]) -> Model:
         new = max(1.0, m.quoted[False][0] - sum(excess))
     if m.quoted[False][0]:
         m.quoted[False] = (new, other)
-    for dense, kind in ((False, "spaced_words"), (True, "dense")):
-        hist = sorted((int(w), k) for w, k in seen.get(kind, {}).items())
-        if hist:
-            left = sum(k for _, k in hist)
-            total = left
-            for w, k in hist:
-                left -= k
-                m.longest[dense] = float(max(4, w))
-                if left <= LONGEST * total:
-                    break
     lens = seen.get("spaced_words", {})
     if len(lens) and sum(lens.values()) >= 100:
         one = (lens.get("1", 0) + 0.5) / (sum(lens.values()) + 1)

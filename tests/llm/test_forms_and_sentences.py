@@ -161,6 +161,29 @@ def test_texts_without_marks_are_cut(lang):
     assert len(boundaries(marked, m)) == 30  # with marks, nothing but those
 
 
+@pytest.mark.parametrize("lang", LANGUAGES)
+def test_short_stretches_without_marks_are_cut(lang):
+    rng = random.Random(lang)
+    own, (mark, gap) = LANGUAGES[lang], MARKS[lang]
+    other = " ".join if gap and lang != "th" else "".join
+    long = [other(f"w{rng.randrange(90)}" if gap and lang != "th" else chr((0x0E01 if lang == "th" else 0x5400) + rng.randrange(40)) for _ in range(300)) + mark.strip() for _ in range(8)]
+    m = learnt([mark.join(rng.sample(own, 6)) + mark.strip() for _ in range(300)] + long)  # some sentences are very long
+    text, ends = gap.join(own[:4]), [len(gap.join(own[: i + 1])) for i in range(4)]
+    assert boundaries(text, m) == ends
+    marked = own[4] + (mark if lang != "th" else " ")
+    assert boundaries(marked + text, m)[-4:] == [len(marked) + e for e in ends]  # beside a sentence that kept its mark
+
+
+def test_gaps_are_bounded_by_their_words():
+    m = learnt(["the river runs. Nobody knew where he lived. See no. 4 of it.\n11. They walked to market."] * 30)
+    ws = ["the", "river", "runs", "Nobody", "knew", "no", "4", "11", "They", "unseen"]
+    for x in ws:
+        for y in ws:
+            assert m.gap(x, y) <= m.bounds(x)[0] + m.bounds(y)[1] + 1e-9
+    assert m.gap("runs", "Nobody") > 0 > m.gap("the", "river")
+    assert m.possible(["the", "river", "runs", "Nobody"]) and not m.possible(["the", "river"])
+
+
 def test_model_learns_abbreviations_and_reports(spark):
     texts = [("The qxv. Zed came to town and saw a house that stood on the hill near the house. It was large? Then he left. “Is it far?” zorbed the man. A man slept and the man left?",)] * 20 + [(None,), ("",)]
     m = sentences.train(spark.createDataFrame(texts, "t string"), "t")

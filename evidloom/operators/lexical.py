@@ -6,12 +6,14 @@ bits, and the rounding makes ties the same in every run. Of equal scores the hig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Queries of a source that one task takes.
+PART = 2_000
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -27,6 +29,13 @@ def collection_stats(docs: DataFrame, scope: list[str], text: str) -> DataFrame:
     return d.groupBy(*scope).agg(*agg) if scope else d.agg(*agg)
 
 
+def weight(tf: str, dl: str, n: Column | None = None, avgdl: Column | None = None, k1: float = K1, b: float = B) -> Column:
+    """What a term adds to a text's score each time a query has it, of columns tf, dl, df and, if not given, n and avgdl."""
+    n, avgdl = F.col("n") if n is None else n, F.col("avgdl") if avgdl is None else avgdl
+    idf = F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
+    return idf * F.col(tf) * F.lit(k1 + 1) / (F.col(tf) + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col(dl) / avgdl))
+
+
 def postings(docs: DataFrame, scope: list[str], doc: list[str], text: str, k1: float = K1, b: float = B) -> DataFrame:
     """scope, doc, term, weight: what a term of a text adds to its score each time a query has it."""
     # within a document's scope a term's texts fit a window, and the queries join on the same partitioning; over a
@@ -43,9 +52,7 @@ def postings(docs: DataFrame, scope: list[str], doc: list[str], text: str, k1: f
         n, avgdl = F.col("n"), F.col("avgdl")
     else:
         n, avgdl = st.select("n").scalar(), st.select("avgdl").scalar()
-    idf = F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
-    w = idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avgdl))
-    return x.select(*scope, *doc, "term", w.alias("weight"))
+    return x.select(*scope, *doc, "term", weight("tf", "dl", n, avgdl, k1, b).alias("weight"))
 
 
 def scores(queries: DataFrame, query: list[str], text: str, index: DataFrame, scope: list[str], doc: list[str]) -> DataFrame:
@@ -76,29 +83,60 @@ def rank_in_document(queries: DataFrame, chunks: DataFrame, query: str, text: st
     return all_.join(chunks.select("source", "ord", "chunk_id"), ["source", "ord"]).select(query, "source", "chunk_id", "ord", "score", "rk")
 
 
-def gold_ranks(queries: DataFrame, chunks: DataFrame, query: str, text: str, k: int = 50) -> DataFrame:
-    """query, source, gold_chunk_id and rank: that of each query's gold chunk, null where it isn't among the best k.
+def gold_ranks(queries: DataFrame, chunks: DataFrame, query: str, text: str, k: int = 50, also: tuple[str, ...] = (), sized: DataFrame | None = None) -> DataFrame:
+    """query, source, gold_chunk_id, ``also`` and rank: that of each query's gold chunk, null where it isn't among the best k.
 
     Only chunks that share a term are scored: a gold chunk without score ranks after all of those, among the
-    others by its ordinal. So the chunks that score 0 are counted, never listed.
+    others by its ordinal. So the chunks that score 0 are counted, never listed. Rows that ``queries`` or ``chunks``
+    repeat count once.
+
+    Queries and chunks are shuffled together, once, by source and part; terms, hits and counts stay where they are
+    made. A source of many queries is in several parts, each with all of its chunks. ``sized`` has about a row for
+    each query with its source, by which parts are sized; any such table gives the same ranks.
     """
-    idx = postings(chunks, ["source"], ["ord"], "text")
-    hit = scores(queries, [query], text, idx, ["source"], ["ord"]).where("score > 0").withColumnRenamed("ord", "_o").withColumnRenamed("score", "_s")
-    gold = queries.select(query, "source", "gold_chunk_id", (F.size(tokens(text)) > 0).alias("_some")).distinct()
-    behind = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ord"))) - 1  # an article's chunks at most
-    at = chunks.withColumn("_behind", behind).groupBy("source", F.col("chunk_id").alias("gold_chunk_id")).agg(F.max("ord").alias("_g"), F.min("_behind").alias("_behind"))
-    own = gold.join(at, ["source", "gold_chunk_id"], "left")
-    own_score = hit.select(query, "source", F.col("_o").alias("_g"), F.col("_s").alias("_gs"))
-    own = own.join(own_score, [query, "source", "_g"], "left")
-    better = own.join(hit, [query, "source"], "left").groupBy(query, "source", "gold_chunk_id", "_some", "_g", "_gs", "_behind").agg(
+    scope = ["source", "_part"]
+    n = (queries if sized is None else sized).groupBy("source").agg(F.count("*").alias("_n"))
+    # a row for each PART queries at most
+    parts = F.broadcast(n.where(F.col("_n") > PART).select("source", F.ceil(F.col("_n") / PART).cast("int").alias("_parts")))
+    of = F.coalesce("_parts", F.lit(1))
+    rest = [c for c in chunks.columns if c not in ("source", "ord", "chunk_id", "text")]
+    asked = queries.join(parts, "source", "left").withColumn("_part", F.pmod(F.xxhash64(query), of).cast("int"))
+    asked = asked.select(*scope, F.struct(query, *also).alias("_q"), F.col("gold_chunk_id").alias("_id"), F.col(text).alias("_text"))
+    there = chunks.where("source is not null").join(parts, "source", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), of - 1)))
+    there = there.select(*scope, "ord", F.col("chunk_id").alias("_id"), F.col("text").alias("_text"), F.struct(F.lit(0), *rest).alias("_rest"))
+    both = asked.unionByName(there, allowMissingColumns=True).repartition(*scope).distinct()
+    # a row is a chunk where _q is null: from here on its place from the end, the source's statistics, and the gold chunk of queries
+    chunk = F.col("_q").isNull()
+    own, same = Window.partitionBy(*scope), Window.partitionBy(*scope, "_id")
+    x = both.select(*scope, "_q", "ord", "_id", tokens("_text").alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    x = x.withColumn("_behind", F.row_number().over(own.orderBy(F.col("_q").isNotNull(), F.desc("ord"))) - 1)
+    x = x.withColumn("n", F.count_if(chunk).over(own).cast("double")).withColumn("avgdl", F.avg(F.when(chunk, F.size("_t").cast("double"))).over(own))
+    gold = lambda c: F.when(F.col("_id").isNotNull(), c.over(same))
+    x = x.withColumn("_g", gold(F.max(F.when(chunk, F.col("ord"))))).withColumn("_behind", gold(F.min(F.when(chunk, F.col("_behind")))))
+    # queries have an empty term too, which no chunk has: with it goes what the result has of them
+    entry = F.struct("_q", F.col("_id").alias("gold_chunk_id"), (F.size("_t") > 0).alias("some"), "_behind")
+    x = x.select(*scope, "_row", chunk.alias("_c"), "ord", "_g", "n", "avgdl", F.size("_t").alias("dl"), F.when(~chunk, entry).alias("_e"), F.explode(F.when(chunk, F.col("_t")).otherwise(F.array_append("_t", F.lit("")))).alias("term"))
+    x = x.withColumn("_e", F.when(F.col("term") == "", F.col("_e")))
+    in_chunks = F.col("_c")
+    tf = x.groupBy(*scope, "term", "_c", F.when(in_chunks, F.col("ord")).otherwise(F.col("_g")).alias("_o"), F.when(~in_chunks, F.col("_row")).alias("_row"), F.when(in_chunks, F.col("dl")).alias("dl"), "n", "avgdl", "_e").agg(F.count("*").cast("double").alias("tf"))
+    met = tf.groupBy(*scope, "term", "n", "avgdl").agg(
+        F.collect_list(F.when(in_chunks, F.struct(F.col("_o").alias("ord"), "dl", "tf"))).alias("_p"),
+        F.collect_list(F.when(~in_chunks, F.struct("_row", F.col("_o").alias("_g"), F.col("tf").alias("_qtf"), "_e"))).alias("_a"),
+    )
+    met = met.select(*scope, "n", "avgdl", F.size("_p").cast("double").alias("df"), "_p", F.explode("_a").alias("_a")).select(*scope, "n", "avgdl", "df", "_a.*", F.explode_outer("_p").alias("_p"))
+    hit = met.groupBy(*scope, "_row", "_g", "_e", F.col("_p.ord").alias("_o")).agg(F.sum(F.col("_qtf") * weight("_p.tf", "_p.dl")).alias("s"))
+    hit = hit.withColumn("s", F.round("s", 6)).select(*scope, "_row", "_g", "_e", "_o", F.when(F.col("s") > 0, F.col("s")).alias("_s"))
+    hit = hit.withColumn("_gs", F.max(F.when(F.col("_o") == F.col("_g"), F.col("_s"))).over(Window.partitionBy(*scope, "_row")))
+    better = hit.groupBy(*scope, "_row", "_g", "_gs").agg(
+        F.first("_e", ignorenulls=True).alias("_e"),
         F.count_if((F.col("_s") > F.col("_gs")) | ((F.col("_s") == F.col("_gs")) & (F.col("_o") > F.col("_g")))).alias("above"),
         F.count("_s").alias("positive"),
-        F.count_if(F.col("_o") > F.col("_g")).alias("positive_after"),
+        F.count_if(F.col("_s").isNotNull() & (F.col("_o") > F.col("_g"))).alias("positive_after"),
     )
-    after = F.col("_behind") - F.col("positive_after")
+    after = F.col("_e._behind") - F.col("positive_after")
     rank = F.when(F.col("_gs").isNotNull(), 1 + F.col("above")).otherwise(1 + F.col("positive") + after)
-    ok = F.col("_some") & F.col("_g").isNotNull()
-    return better.select(query, "source", "gold_chunk_id", F.when(ok & (rank <= k), rank).cast("bigint").alias("rank"))
+    ok = F.col("_e.some") & F.col("_g").isNotNull()
+    return better.select(f"_e._q.{query}", "source", "_e.gold_chunk_id", *(f"_e._q.{c}" for c in also), F.when(ok & (rank <= k), rank).cast("bigint").alias("rank"))
 
 
 def rank_in_collection(queries: DataFrame, docs: DataFrame, query: str, text: str, doc: str, doc_text: str, k: int = 10) -> DataFrame:

@@ -40,12 +40,20 @@ def verification(s: SparkSession, d: str) -> DataFrame:
     return relate.verification_by_source(table(s, d, "source_verification").distinct())
 
 
-def located(s: SparkSession, d: str) -> DataFrame:
-    """One row for each (final_id, source) of the gold labels, with the texts of its claim."""
+def located(s: SparkSession, d: str, n_labels: int = 5, n_texts: int = 3) -> DataFrame:
+    """One row for each (final_id, source) of the gold labels, with the texts of its claim.
+
+    The row taken is the largest; so its first ``n_labels`` and ``n_texts`` columns don't need the others, and
+    a query that asks for no more leaves the rest unread.
+    """
     gold, a = table(s, d, "localization"), claims(s, d)
     one = lambda df, cols: df.groupBy("final_id", "source").agg(F.max(F.struct(*cols)).alias("r")).select("final_id", "source", "r.*")
-    g = one(gold, ["gold_chunk_id", "gold_match_type", "judgement", "type", "split"])
-    return g.join(one(a, ["claim", "evidence", "reasoning"]), ["final_id", "source"])
+    g = one(gold, ["gold_chunk_id", "gold_match_type", "judgement", "type", "split"][:n_labels])
+    return g.join(one(a, ["claim", "evidence", "reasoning"][:n_texts]), ["final_id", "source"])
+
+
+def gold_ranks(s: SparkSession, d: str, queries: DataFrame, text: str = "claim", **how) -> DataFrame:
+    return lexical.gold_ranks(queries, table(s, d, "wikipedia_chunks"), "final_id", text, sized=table(s, d, "localization"), **how)
 
 
 # ---- text
@@ -419,7 +427,7 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_gold_ranks(s: SparkSession, d: str) -> DataFrame:
-    return lexical.gold_ranks(located(s, d), chunks(s, d), "final_id", "claim")
+    return gold_ranks(s, d, located(s, d, 1, 1))
 
 
 @query

@@ -454,7 +454,7 @@ def bm25_relaxed_metrics(s: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_recall_gate(s: SparkSession, d: str) -> DataFrame:
     """How often the gold chunk is among the first 50: what a reranker of those can reach at most."""
-    return metrics.retrieval_metrics(lexical.gold_ranks(located(s, d), chunks(s, d), "final_id", "claim", k=50), ks=(50,))
+    return metrics.retrieval_metrics(gold_ranks(s, d, located(s, d, 1, 1), k=50), ks=(50,))
 
 
 def _dense_in_article(s: SparkSession, d: str) -> DataFrame:

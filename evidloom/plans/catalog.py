@@ -486,9 +486,7 @@ def hybrid_dense_metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_breakdown(s: SparkSession, d: str) -> DataFrame:
-    loc = located(s, d)
-    r = lexical.gold_ranks(loc, chunks(s, d), "final_id", "claim")
-    return metrics.breakdown(r.join(loc.select("final_id", "source", "judgement", "type", "gold_match_type"), ["final_id", "source"]))
+    return metrics.breakdown(gold_ranks(s, d, located(s, d, 4, 1), also=("judgement", "type", "gold_match_type")))
 
 
 @query

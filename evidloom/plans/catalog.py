@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
 from evidloom.operators import dense, lexical, match, metrics, profile, quality, relate, resolve, spans, splitting, treeagg, windows
-from evidloom.session import shared_folder, table
+from evidloom.session import checkpointed, shared_folder, table
 from evidloom.streaming.resume import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,9 +391,8 @@ def token_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def _overlap_ranks(s: SparkSession, d: str) -> DataFrame:
-    loc = located(s, d)
-    r = lexical.gold_ranks(loc, chunks(s, d), "final_id", "claim")
-    return loc.select("final_id", "source", "judgement", F.round(T.containment("claim", "evidence"), 6).alias("overlap")).join(r, ["final_id", "source"])
+    loc = located(s, d, 3, 2).withColumn("overlap", F.round(T.containment("claim", "evidence"), 6))
+    return gold_ranks(s, d, loc, also=("judgement", "overlap"))
 
 
 @query
@@ -403,8 +402,8 @@ def overlap_bins(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def overlap_quintiles(s: SparkSession, d: str) -> DataFrame:
-    x = _overlap_ranks(s, d).withColumn("k", F.col("final_id") * F.lit(10_000_000_000) + F.col("source"))
-    return metrics.quintiles(x, "overlap", "k", "rank")
+    x = _overlap_ranks(s, d).select("overlap", "rank", (F.col("final_id") * F.lit(10_000_000_000) + F.col("source")).alias("k"))
+    return metrics.quintiles(checkpointed(x), "overlap", "k", "rank")  # which reads them three times
 
 
 @query

@@ -436,7 +436,7 @@ def bm25_metrics(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_oracle_ceiling(s: SparkSession, d: str) -> DataFrame:
-    return metrics.retrieval_metrics(lexical.gold_ranks(located(s, d), chunks(s, d), "final_id", "evidence"))
+    return metrics.retrieval_metrics(gold_ranks(s, d, located(s, d, 1, 2), "evidence"))
 
 
 @query

@@ -11,7 +11,7 @@ from evidloom.plans import catalog
 DATA = "/root/testdata/sf0.001"
 
 #: Shuffles of the largest plan that a query runs; those of broadcasts' inputs count.
-SHUFFLES = {"bm25_gold_ranks": 5, "bm25_metrics": 6, "bm25_oracle_ceiling": 6, "bm25_recall_gate": 6, "metric_breakdown": 6, "overlap_bins": 6, "overlap_quintiles": 8}
+SHUFFLES = {"bm25_gold_ranks": 5, "bm25_metrics": 6, "bm25_oracle_ceiling": 6, "bm25_recall_gate": 6, "metric_breakdown": 6, "overlap_bins": 6, "overlap_quintiles": 8, "overlap_slices": 6}
 
 
 def shuffles(df):
